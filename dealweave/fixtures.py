@@ -141,6 +141,40 @@ SELECT l_orderkey % 100 AS base_doc_id, concat('Reviewer ', CAST(l_suppkey % 5 A
   l_shipdate AS change_ts, CASE WHEN l_returnflag IN ('A','R') THEN l_linenumber ELSE NULL END AS paragraph_index,
   CASE WHEN l_quantity < 3 THEN '' ELSE concat('text ', CAST(l_partkey AS STRING)) END AS change_text
 FROM lineitem
+""",
+    # Further views of our own, same rules: checklist rows with blank cells on header rows,
+    # unlabeled grids with a title row and one of two header vocabularies, model decisions as text.
+    "v_rows": """
+SELECT checklist_id, row_id, document_name,
+  CASE WHEN document_name LIKE '%:' OR row_id % 8 = 2 THEN '' ELSE status END AS status,
+  CASE WHEN document_name LIKE '%:' OR row_id % 8 = 2 THEN '' ELSE party END AS party,
+  CASE WHEN document_name LIKE '%:' OR row_id % 8 = 2 THEN '' ELSE signatories END AS signatories, notes
+FROM v_checklist
+""",
+    "v_grid": """
+SELECT checklist_id % 10 AS file_id, checklist_id AS table_id, 0 AS row_idx, 'Closing list' AS c0, '' AS c1, '' AS c2, '' AS c3, '' AS c4
+FROM (SELECT DISTINCT checklist_id FROM v_rows) a
+UNION ALL
+SELECT checklist_id % 10, checklist_id, 1,
+  CASE WHEN checklist_id % 3 = 0 THEN 'Document' WHEN checklist_id % 3 = 1 THEN 'Deliverable' ELSE 'Name' END,
+  CASE WHEN checklist_id % 3 = 0 THEN 'Status' WHEN checklist_id % 3 = 1 THEN 'State' ELSE 'Progress' END,
+  CASE WHEN checklist_id % 2 = 0 THEN 'Party' ELSE 'Who' END, 'Signatories', CASE WHEN checklist_id % 2 = 0 THEN 'Notes' ELSE 'Remarks' END
+FROM (SELECT DISTINCT checklist_id FROM v_rows) b
+UNION ALL
+SELECT checklist_id % 10, checklist_id, CAST(1 + row_number() OVER (PARTITION BY checklist_id ORDER BY row_id) AS INT),
+  document_name, status, party, signatories, notes
+FROM v_rows
+""",
+    "v_decisions": """
+SELECT checklist_id, row_id, concat(
+  CASE CAST(row_id % 3 AS INT) WHEN 0 THEN '' WHEN 1 THEN concat('```json', chr(10)) ELSE 'Here is the result: ' END,
+  '{"matches": [{"row_id": "', CAST(row_id AS STRING), '", "document_name": "', document_name,
+  '", "status": "', CASE CAST(row_id % 5 AS INT) WHEN 0 THEN 'fully executed' WHEN 1 THEN 'Agreed Form' WHEN 2 THEN 'unclear' WHEN 3 THEN 'under review' ELSE '' END,
+  '", "has_activity": "', CASE CAST(row_id % 4 AS INT) WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE '' END,
+  '", "matching_email_indices": [', CAST(row_id % 7 - 1 AS STRING), ', 5], "matching_thread_ids": ["thread-1", "thread-', CAST(row_id % 3 AS STRING),
+  '"], "confidence": ', CAST(row_id % 4 AS STRING), '.25, "checklist_comment": "seen"}]}',
+  CASE CAST(row_id % 3 AS INT) WHEN 0 THEN '' WHEN 1 THEN concat(chr(10), '```') ELSE ' Let me know.' END) AS payload
+FROM v_rows WHERE row_id % 2 = 0
 """,
 }
 
@@ -164,7 +198,8 @@ def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run portable SQL in Spark, binding every table it names as a DataFrame argument."""
     prepare(spark)
     names = sorted({m.group(2) for m in _SOURCE.finditer(text)})
-    bound = _SOURCE.sub(r"\1 {\2}", _ISO.sub(_SPARK_ISO, text))
+    escaped = _ISO.sub(_SPARK_ISO, text).replace("{", "{{").replace("}", "}}")
+    bound = _SOURCE.sub(r"\1 {\2}", escaped)
     return spark.sql(bound, **{n: table(spark, sf_dir, n) for n in names})
 
 

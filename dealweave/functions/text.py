@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,7 +15,8 @@ def words_array(words) -> Column:
 
 
 def any_contains(text: Column, words) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    """Any of the words as a substring. One literal alternation, so ``text`` is evaluated once."""
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def any_rlike(text: Column, patterns) -> Column:
