@@ -18,6 +18,7 @@ from dealweave.functions import mail as M
 from dealweave.functions import text as T
 from dealweave.operators import hot, threads
 from dealweave.operators.substring import containing
+from dealweave.session import cut_lineage
 
 TOP_MAILS, TOP_THREADS, EVENTS, CONFIDENT = 8, 3, 4, 8.5  # fixed values
 ROW_MAIL_SCORE, THREAD_MAIL_SCORE, ROW_THREAD_SCORE = 1.2, 0.9, 2.0  # fixed values
@@ -34,29 +35,36 @@ def longest_word(c: Column) -> Column:
 
 # ---------------------------------------------------------------- both sides, prepared once
 def mail_features(mail: DataFrame) -> DataFrame:
-    """Lookup forms of everything the score reads. Input: thread members with ``deal_id``."""
-    m = mail.withColumns({
-        "titles": T.split_attachments(F.col("attachments")),
-        "n_subject": T.search_form(F.col("subject")),
-        "n_body": T.search_form(T.first_filled(F.col("body_current"), F.col("body"))),
-        "n_all": T.search_form(F.col("searchable")),
-        "n_people": T.search_form(F.concat_ws(" ", "sender", "recipients", "cc")),
-    }).withColumn("title_lookups", F.transform("titles", T.lookup_form))
-    return m.withColumns({
-        "n_titles": F.array_join("title_lookups", " "),
-        "noise_titles": F.size(F.filter("title_lookups", lambda t: t == "")),
-    })
+    """Lookup forms of everything the score reads. Input: thread members with ``deal_id``.
+
+    The result feeds the word index, the pair scores and the thread sums, so it is written once
+    instead of being derived again from the mail text in each of them.
+    """
+    m = mail.select(
+        "deal_id", "email_idx", "thread_key", "sort_ts", "has_attachments", "searchable", "subject", "clean_subject",
+        "priority", "direction", "issues", "event_text",
+        F.transform(T.split_attachments(F.col("attachments")),
+                    lambda t: F.struct(t.alias("t"), T.lookup_form(t).alias("lk"))).alias("titles"),
+        T.search_form(F.col("subject")).alias("n_subject"),
+        T.search_form(T.first_filled(F.col("body_current"), F.col("body"))).alias("n_body"),
+        T.search_form(F.col("searchable")).alias("n_all"),
+        T.search_form(F.concat_ws(" ", "sender", "recipients", "cc")).alias("n_people"),
+    )
+    return cut_lineage(m.withColumns({
+        "n_titles": F.array_join(F.transform("titles", lambda x: x["lk"]), " "),
+        "noise_titles": F.size(F.filter("titles", lambda x: x["lk"] == "")),
+    }))
 
 
 def row_profiles(items: DataFrame) -> DataFrame:
     """Distinct (deal, matched name, context) with tokens; ``pid`` is a content hash."""
-    return items.select("deal_id", "match_document_name", "row_context").distinct().select(
+    return cut_lineage(items.select("deal_id", "match_document_name", "row_context").distinct().select(
         "deal_id", "match_document_name", "row_context",
         F.xxhash64("match_document_name", "row_context").alias("pid"),
         T.lookup_form(F.col("match_document_name")).alias("doc_lookup"),
         T.document_tokens(F.col("match_document_name")).alias("doc_tokens"),
         F.slice(T.search_tokens(F.col("row_context")), 1, 8).alias("context_tokens"),
-    )
+    ))
 
 
 # ---------------------------------------------------------------- candidates
@@ -70,8 +78,8 @@ def word_candidates(profiles: DataFrame, features: DataFrame) -> DataFrame:
     forward = needs.join(pairs, "needle").join(shown, ["deal_id", "haystack"]).select("deal_id", "pid", "email_idx")
 
     named = profiles.select("deal_id", "pid", F.explode(F.split("doc_lookup", " ")).alias("haystack"))
-    titled = features.select("deal_id", "email_idx", F.explode("title_lookups").alias("t")).where("t <> ''").select(
-        "deal_id", "email_idx", longest_word(F.col("t")).alias("needle"))
+    titled = features.select("deal_id", "email_idx", F.explode("titles").alias("t")).where("t.lk <> ''").select(
+        "deal_id", "email_idx", longest_word(F.col("t.lk")).alias("needle"))
     pairs = containing(titled.select("needle"), named.select("haystack"))
     backward = titled.join(pairs, "needle").join(named, ["deal_id", "haystack"]).select("deal_id", "pid", "email_idx")
     return forward.unionAll(backward).distinct()
@@ -90,11 +98,11 @@ def title_scores() -> Column:
     dl, toks = F.col("doc_lookup"), F.col("doc_tokens")
 
     def one(title: Column) -> Column:
-        tl = T.lookup_form(title)
+        tl = title["lk"]
         hits = F.size(F.filter(toks, lambda k: has(tl, k)))
         whole = F.when((dl != "") & (has(tl, dl) | has(dl, tl)), 10.5).otherwise(0.0)
         best = F.greatest(whole, F.least(F.lit(8.8), hits * 2.2))
-        return F.struct((best + F.when(hits >= 2, 0.9).otherwise(0.0)).alias("s"), title.alias("t"))
+        return F.struct((best + F.when(hits >= 2, 0.9).otherwise(0.0)).alias("s"), title["t"].alias("t"))
 
     return F.transform("titles", one)
 
@@ -225,8 +233,8 @@ def thread_rank() -> list[Column]:
 
 def thread_pairs(profiles: DataFrame, features: DataFrame, bases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(thread scores per profile, scored mail pairs of those threads)."""
-    hits = word_candidates(profiles, features).join(
-        features.select("deal_id", "email_idx", "thread_key"), ["deal_id", "email_idx"])
+    hits = cut_lineage(word_candidates(profiles, features).join(
+        features.select("deal_id", "email_idx", "thread_key"), ["deal_id", "email_idx"]))
     filler = hot.top_k(bases.withColumn("score", F.round(anchored(F.col("lift")) + F.col("late"), 4)), ["deal_id"], thread_rank(), TOP_THREADS)
     wanted = hits.select("deal_id", "pid", "thread_key").unionByName(
         filler.select("deal_id", "thread_key").join(profiles.select("deal_id", "pid"), "deal_id")).distinct()
@@ -234,7 +242,7 @@ def thread_pairs(profiles: DataFrame, features: DataFrame, bases: DataFrame) ->
                       ["deal_id", "thread_key"], [F.desc("_s"), F.asc("email_idx")], TOP_MAILS)
     extra = noise.select("deal_id", "thread_key", "email_idx").join(wanted, ["deal_id", "thread_key"])
     cand = hits.select("deal_id", "pid", "email_idx").unionByName(extra.select("deal_id", "pid", "email_idx")).distinct()
-    mails = scored_pairs(cand, profiles, features)
+    mails = cut_lineage(scored_pairs(cand, profiles, features))
     return thread_scores(wanted, mails, profiles, bases), mails
 
 
@@ -361,13 +369,14 @@ def mention_status(items: DataFrame, members: DataFrame) -> DataFrame:
 def checklist_update(items: DataFrame, mail: DataFrame, anchors: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
     """Changed rows only: new status and merged comment, from a decision, a strong thread, or mentions."""
     members = mail.join(items.select("deal_id").distinct(), "deal_id", "left_semi")
+    items = cut_lineage(items)
     profiles, features = row_profiles(items), mail_features(members)
     scores, mails = thread_pairs(profiles, features, thread_bases(features, anchors))
     best = hot.top_k(scores, ["deal_id", "pid"], thread_rank(), 1)
-    strong = to_rows(thread_summaries(best, mails, members), items).select(
+    strong = to_rows(thread_summaries(best, mails, features), items).select(
         "deal_id", "row_id", F.col("score").alias("t_score"), F.col("status_signal").alias("t_status"),
         F.col("suggested_comment").alias("t_comment"))
-    seen = mention_status(items, members).select("deal_id", "doc_key", F.col("status").alias("m_status"), "evidence")
+    seen = mention_status(items, features).select("deal_id", "doc_key", F.col("status").alias("m_status"), "evidence")
     j = (
         items.join(strong, ["deal_id", "row_id"], "left")
         .withColumn("doc_key", F.lower("document_name")).join(seen, ["deal_id", "doc_key"], "left").drop("doc_key")

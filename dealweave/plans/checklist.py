@@ -391,13 +391,13 @@ hd AS (SELECT * FROM (SELECT deal_id, thread_key, email_idx, row_number() OVER (
 rr AS (SELECT deal_id, match_document_name, row_context, thread_key, email_idx, o FROM r4 UNION ALL
  SELECT tr.deal_id, match_document_name, row_context, thread_key, hd.email_idx, o FROM tr JOIN hd USING (deal_id, thread_key) WHERE rn = 1 AND exact_name AND (tr.deal_id, match_document_name, row_context) NOT IN (SELECT (deal_id, match_document_name, row_context) FROM r4)),
 ev AS (SELECT rr.*, priority, direction, n_issues, issues, concat(CASE direction WHEN 'sent' THEN 'Sent ' ELSE 'Received ' END, CASE WHEN label <> '' THEN label ELSE 'document update' END, CASE direction WHEN 'sent' THEN ' to ' ELSE ' from ' END, party, ' on ', event_date, '.') AS txt FROM rr JOIN em USING (deal_id, email_idx)),
-sm AS (SELECT deal_id, match_document_name, row_context, max(priority) AS tp, count(*) FILTER (WHERE direction = 'sent') AS sent, count(*) FILTER (WHERE direction <> 'sent') AS recv, sum(n_issues) AS ni FROM ev GROUP BY 1, 2, 3),
+sm AS (SELECT deal_id, match_document_name, row_context, max(priority) AS tp, count(*) FILTER (WHERE direction = 'sent') AS sent, count(*) FILTER (WHERE direction <> 'sent') AS recv, sum(n_issues) AS nis FROM ev GROUP BY 1, 2, 3),
 e2 AS (SELECT deal_id, match_document_name, row_context, txt, min(o) AS o FROM ev GROUP BY 1, 2, 3, 4),
 e3 AS (SELECT deal_id, match_document_name, row_context, string_agg(txt, ' ' ORDER BY o) AS said FROM (SELECT *, row_number() OVER (PARTITION BY deal_id, match_document_name, row_context ORDER BY o) AS k FROM e2) z WHERE k <= 2 GROUP BY 1, 2, 3),
 i2 AS (SELECT deal_id, match_document_name, row_context, lower(p) AS lp, arg_min(p, o * 10 + i) AS p, min(o * 10 + i) AS o FROM (SELECT *, unnest(string_split(issues, '|')) AS p, unnest(range(1, len(string_split(issues, '|')) + 1)) AS i FROM ev WHERE issues <> '') z GROUP BY 1, 2, 3, 4),
 i3 AS (SELECT deal_id, match_document_name, row_context, string_agg(p, '; ' ORDER BY o) AS flagged FROM (SELECT *, row_number() OVER (PARTITION BY deal_id, match_document_name, row_context ORDER BY o) AS k FROM i2) z WHERE k <= 2 GROUP BY 1, 2, 3),
 cs AS (SELECT tr.deal_id, match_document_name, row_context, tr.score,
- CASE WHEN coalesce(tp, 0) <= 1 AND sent > 0 AND (recv > 0 OR ni > 0) THEN 'With Opposing Counsel' WHEN tp > 0 THEN {q.status_name('tp')} WHEN sent > 0 THEN 'With Opposing Counsel' WHEN recv > 0 THEN 'Draft Circulated' ELSE {q.status_name('tr.pr')} END AS status_signal,
+ CASE WHEN coalesce(tp, 0) <= 1 AND sent > 0 AND (recv > 0 OR nis > 0) THEN 'With Opposing Counsel' WHEN tp > 0 THEN {q.status_name('tp')} WHEN sent > 0 THEN 'With Opposing Counsel' WHEN recv > 0 THEN 'Draft Circulated' ELSE {q.status_name('tr.pr')} END AS status_signal,
  CASE WHEN flagged IS NOT NULL THEN trim(concat_ws(' ', coalesce(said, ''), 'Issues flagged: ' || flagged || '.')) ELSE coalesce(said, '') END AS suggested_comment
  FROM tr LEFT JOIN sm USING (deal_id, match_document_name, row_context) LEFT JOIN e3 USING (deal_id, match_document_name, row_context) LEFT JOIN i3 USING (deal_id, match_document_name, row_context) WHERE tr.rn = 1)"""
 
@@ -429,7 +429,7 @@ ms AS (SELECT deal_id, doc_key, max(priority) AS p, string_agg(CAST(email_idx AS
 
 @query("win_07", f"WITH {SCORES}, {MENTION} SELECT deal_id, doc_key, {q.status_name('p')} AS status, ids AS evidence FROM ms")
 def win_07(t):
-    s = MT.mention_status(items(t), deal_mail(t))
+    s = MT.mention_status(items(t), MT.mail_features(deal_mail(t)))
     return s.select("deal_id", "doc_key", "status", F.array_join(F.transform("evidence_idx", lambda x: x.cast("string")), ",").alias("evidence"))
 
 
