@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from dealweave import lexicon as lx
 from dealweave.functions import text as T
+from dealweave.session import computed_once
 
 EMPTY = "array<string>"
+RESULT = ("signers", "method", "cue_score", "cue_hits", "needs_review", "is_signature_page")
 
 
 def upper_name(c: Column) -> Column:
@@ -69,18 +71,31 @@ def _first(arr: Column) -> Column:
 def with_signature_analysis(pages: DataFrame, text: str = "page_text") -> DataFrame:
     """Add signers (sorted), method, cue_score, cue_hits, needs_review, is_signature_page."""
     label = lx.NAME_LABEL + r"\s*(.+)"
-    raw = F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\n|\r")
-    p = pages.withColumn("_raw", F.transform(raw, lambda x: F.struct(
-        T.strip(x).alias("l"), signer_candidate(x).alias("c"),
-        F.regexp_extract(x, r"(?i)\bBY\s*:\s*(.+)$", 1).alias("inline"), F.regexp_extract(T.strip(x), label, 1).alias("lab"),
-        x.rlike(r"(?i)\bBY\s*:").alias("by"), x.rlike(r"(?i)\bTITLE\s*:").alias("title"))))
+    body = F.coalesce(F.col(text), F.lit(""))
+    # Prose pages stop here: without a label, a BY block, a rule or a trigger phrase no detector fires.
+    cue = F.upper(body).rlike(r"\bBY\s*:|\b(?:NAME|SIGNATORY|SIGNER|TITLE|DATE)\s*:|_{6,}|" + "|".join(lx.TRIGGER_PHRASES))
+    lines = F.transform(F.split(body, r"\r\n|\n|\r"), lambda x: F.struct(
+        T.strip(x).alias("l"), F.regexp_extract(x, r"(?i)\bBY\s*:\s*(.+)$", 1).alias("inline"),
+        F.regexp_extract(x, label, 1).alias("lab"), x.rlike(r"(?i)\bBY\s*:").alias("by"), x.rlike(r"(?i)\bTITLE\s*:").alias("title")))
+    p = pages.withColumn("_raw", F.when(cue, lines).otherwise(F.slice(lines, 1, 0)))
+    has_by = F.exists("_raw", lambda x: x["by"])
+    blank = F.lit("")
     p = p.withColumn("_raw", F.transform("_raw", lambda x: F.struct(
-        x["l"].alias("l"), x["c"].alias("c"), is_person(x["c"]).alias("cp"), is_entity(x["c"]).alias("ce"),
-        n_words(x["c"]).alias("cw"), x["by"].alias("by"), x["title"].alias("title"), (x["lab"] != "").alias("haslab"),
-        signer_candidate(x["inline"]).alias("ic"), signer_candidate(x["lab"]).alias("lc"))))
-    p = p.withColumn("_raw", F.transform("_raw", lambda x: F.struct(
-        *[x[k].alias(k) for k in ("l", "c", "cp", "ce", "cw", "by", "title", "haslab", "ic", "lc")],
-        is_person(x["ic"]).alias("ip"), is_person(x["lc"]).alias("lp"), is_entity(x["lc"]).alias("le"))))
+        *[x[k].alias(k) for k in ("l", "by", "title")], (x["lab"] != "").alias("haslab"),
+        F.when(has_by, signer_candidate(x["l"])).otherwise(blank).alias("c"),
+        F.when(x["inline"] != "", signer_candidate(x["inline"])).otherwise(blank).alias("ic"),
+        F.when(x["lab"] != "", signer_candidate(x["lab"])).otherwise(blank).alias("lc"))))
+
+    def judged(x):
+        def test(fn, c):
+            return F.when(c != "", fn(c)).otherwise(False)
+
+        return F.struct(
+            *[x[k].alias(k) for k in ("l", "by", "title", "haslab", "c", "ic", "lc")],
+            test(is_person, x["c"]).alias("cp"), test(is_entity, x["c"]).alias("ce"), n_words(x["c"]).alias("cw"),
+            test(is_person, x["ic"]).alias("ip"), test(is_person, x["lc"]).alias("lp"), test(is_entity, x["lc"]).alias("le"))
+
+    p = computed_once(p.withColumn("_raw", F.transform("_raw", judged)), "_raw")
     p = p.withColumn("_lines", F.filter("_raw", lambda x: x["l"] != ""))
 
     def by_block(x, i):
@@ -100,18 +115,23 @@ def with_signature_analysis(pages: DataFrame, text: str = "page_text") -> DataFr
         ok = F.filter(F.slice("_raw", (at + 1).cast("int"), F.lit(14)), lambda x: x["tp"])
         return F.when(at > 0, F.transform(ok, lambda x: x["tc"])).otherwise(F.array().cast(EMPTY))
 
-    trigger_ok = lambda x: (F.length(x["l"]) >= 3) & ~x["l"].rlike(r"^[_\-\s]+$") & ~T.any_contains(F.upper(x["l"]), lx.TRIGGER_LINE_SKIP) & n_words(x["l"]).between(1, 5)
-    p = p.withColumn("_raw", F.transform("_raw", lambda x: F.struct(
-        x["l"].alias("l"), signer_candidate(F.regexp_replace(T.squash(x["l"]), "[_:]+$", "")).alias("tc"), trigger_ok(x).alias("t"),
-        x["lp"].alias("lp"), x["lc"].alias("lc"), x["title"].alias("title"), F.rlike(x["l"], F.lit(r"(?i)\bNAME\s*:\s*.+")).alias("nm"))))
-    p = p.withColumn("_raw", F.transform("_raw", lambda x: x.withField("tp", x["t"] & is_person(x["tc"]))))
+    def trigger_line(x):
+        ok = (F.length(x["l"]) >= 3) & ~x["l"].rlike(r"^[_\-\s]+$") & ~T.any_contains(F.upper(x["l"]), lx.TRIGGER_LINE_SKIP) & n_words(x["l"]).between(1, 5)
+        name = F.when(triggered & ok, signer_candidate(F.regexp_replace(T.squash(x["l"]), "[_:]+$", ""))).otherwise(blank)
+        return F.struct(
+            *[x[k].alias(k) for k in ("l", "lp", "title")], name.alias("tc"),
+            x["l"].rlike(r"(?i)\bNAME\s*:\s*.+").alias("nm"))
+
+    triggered = T.any_contains(F.upper(F.col(text)), lx.TRIGGER_PHRASES)
+    p = p.withColumn("_raw", F.transform("_raw", trigger_line))
+    p = p.withColumn("_raw", F.transform("_raw", lambda x: x.withField("tp", F.when(x["tc"] != "", is_person(x["tc"])).otherwise(False))))
     empty = F.array().cast(EMPTY)
     p = p.withColumns({
         "_by": F.array_compact(F.transform("_lines", by_block)),
         "_lab": F.transform(F.filter("_lines", lambda x: x["lp"]), lambda x: x["lc"]),
         "_ent": F.transform(F.filter("_lines", lambda x: ~x["lp"] & x["le"]), lambda x: x["lc"]),
         "_nt": F.exists(F.transform("_raw", lambda x, i: x["nm"] & x["lp"] & F.exists(F.slice("_raw", i + 2, F.lit(3)), lambda y: y["title"])), lambda b: b),
-        "_trig": F.when(T.any_contains(F.upper(F.col(text)), lx.TRIGGER_PHRASES), F.flatten(F.array(*[near_trigger(w) for w in lx.TRIGGER_PHRASES]))).otherwise(empty),
+        "_trig": F.when(triggered, F.flatten(F.array(*[near_trigger(w) for w in lx.TRIGGER_PHRASES]))).otherwise(empty),
         "cue_hits": cue_hits(F.col(text)),
     })
     p = p.withColumn("_persons", F.array_union(F.array_union("_by", "_lab"), "_trig"))
@@ -127,9 +147,10 @@ def with_signature_analysis(pages: DataFrame, text: str = "page_text") -> DataFr
         ",", F.when(F.size("_by") > 0, "BY_BLOCK"), F.when(F.size("_lab") > 0, "LABEL"), F.when(F.size("_ent") > 0, "LABEL_ENTITY"),
         F.when(F.col("_nt"), "NAME_TITLE"), F.when(F.size("_trig") > 0, "TRIGGER"),
         F.when(none & (F.size("_ents") > 0), "ENTITY_FALLBACK"), F.when(cued, "SIGNATURE_CUE_REVIEW"))
-    return p.withColumns({
+    p = p.withColumns({
         "method": method, "is_signature_page": found | cued, "needs_review": (found & none) | cued,
     }).drop("_raw", "_lines", "_by", "_lab", "_ent", "_nt", "_trig", "_persons", "_ents")
+    return computed_once(p, *RESULT)
 
 
 # ---------------------------------------------------------------- tables of signers

@@ -10,6 +10,7 @@ from dealweave import lexicon as lx
 from dealweave.functions import mail as M
 from dealweave.functions import text as T
 from dealweave.operators import hot
+from dealweave.session import computed_once
 
 
 # ---------------------------------------------------------------- grids
@@ -90,17 +91,17 @@ def typed_rows(rows: DataFrame, key="checklist_id", doc="document_name", status=
     capitals = (F.upper(name) == name) & (F.lower(name) != name) & (F.length(name) <= 80)
     header = (n_all <= 2) & (n_other <= 1) & (name.endswith(":") | section | capitals)
     marked = name.rlike(lx.ROW_NUMBER_PREFIX)
-    r = rows.withColumns({
+    r = computed_once(rows.withColumns({
         "_name": name, "_header": header,
         "_sub": marked | (short & section) | (short & (n_other <= 2)),
-    })
+    }), "_name", "_header", "_sub")
     first = r.where((F.col("_name") != "") & ~F.col("_header")).groupBy(key).agg(F.min("row_id").alias("_first"))
     r = r.join(first, key, "left")
     kind = (
         F.when(F.col("_name") == "", "blank").when(F.col("_header"), "section_header")
         .when((F.col("row_id") > F.col("_first")) & F.col("_sub"), "subrow").otherwise("document")
     )
-    r = r.withColumn("row_type", kind)
+    r = computed_once(r.withColumn("row_type", kind), "row_type")
     is_doc = F.col("row_type") == "document"
     r = hot.last_before(r, [key], hot.index_block(F.col("row_id")), ["row_id"], F.when(is_doc, F.col("_name")), "_prev")
     own = F.when(is_doc, F.col("_name")).when(F.col("row_type") == "blank", "").otherwise(F.coalesce("_prev", F.lit("")))

@@ -18,7 +18,7 @@ from dealweave.functions import mail as M
 from dealweave.functions import text as T
 from dealweave.operators import hot, threads
 from dealweave.operators.substring import containing
-from dealweave.session import cut_lineage
+from dealweave.session import computed_once, cut_lineage
 
 TOP_MAILS, TOP_THREADS, EVENTS, CONFIDENT = 8, 3, 4, 8.5  # fixed values
 ROW_MAIL_SCORE, THREAD_MAIL_SCORE, ROW_THREAD_SCORE = 1.2, 0.9, 2.0  # fixed values
@@ -150,12 +150,13 @@ def scored_pairs(candidates: DataFrame, profiles: DataFrame, features: DataFrame
         bits = F.transform(first8, lambda k, i: F.when(has(text, k), F.pow(F.lit(2), i).cast("int")).otherwise(0))
         return F.aggregate(bits, F.lit(0), lambda a, b: a + b)
 
-    return p.select(
+    out = p.select(
         "deal_id", "pid", "email_idx", "thread_key", "sort_ts", F.round(score, 4).alias("score"), "title_score",
         mask(names).alias("title_bits"), mask(every).alias("text_bits"),
         ((dl != "") & (has(names, dl) | has(every, dl))).alias("name_hit"),
         F.slice(F.transform("_t", lambda x: x["t"]), 1, 4).alias("matched_titles"),
     )
+    return computed_once(out, "score", "title_score", "title_bits", "text_bits", "name_hit", "matched_titles")
 
 
 def mail_pairs(profiles: DataFrame, features: DataFrame) -> DataFrame:

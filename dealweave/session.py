@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Timestamps in the data model are naive; pinning the zone keeps every engine on the same clock.
 RUNTIME_CONF = {
@@ -47,3 +48,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
+
+
+def computed_once(df: DataFrame, *names: str) -> DataFrame:
+    """Make expensive columns a boundary the optimizer keeps.
+
+    A filter on a computed column is normally pushed below the projection by repeating the
+    column's whole expression, which multiplies long regular-expression chains. Passing the values
+    through a one-element generator stops that: they are evaluated once per row.
+    """
+    keep = [c for c in df.columns if c not in names]
+    packed = df.select(*keep, F.explode(F.array(F.struct(*names))).alias("_once"))
+    return packed.select(*keep, *[F.col(f"_once.{n}").alias(n) for n in names])
