@@ -212,12 +212,12 @@ def thread_bases(features: DataFrame, anchors: DataFrame) -> DataFrame:
         "n_issues": F.coalesce("n_issues", F.lit(0)),
         "anchor_hits": _popcount(F.col("anchor_bits")),
     })
-    return out.withColumns({
+    return cut_lineage(out.withColumns({
         "n_thread_subject": T.search_form(F.col("subject")),
         "late": F.least(F.lit(1.0), 0.2 * (F.col("message_count") - 1)) + F.least(F.lit(0.6), 0.2 * F.col("n_issues"))
         + F.least(F.lit(0.8), 0.2 * F.col("status_priority")),
         "lift": lift,
-    }).drop("_s", "_fb", "_lift", "_n")
+    }).drop("_s", "_fb", "_lift", "_n"))
 
 
 def anchored(score: Column) -> Column:
@@ -281,11 +281,12 @@ def top_threads(scores: DataFrame) -> DataFrame:
 def thread_summaries(best: DataFrame, mails: DataFrame, members: DataFrame) -> DataFrame:
     """Status, comment and subjects of the few relevant mails of each chosen thread."""
     key = ["deal_id", "pid", "thread_key"]
+    best = cut_lineage(best)
     chosen = best.select(*key)
     relevant = hot.top_k(
         mails.join(chosen, key, "left_semi").where(F.col("score") >= THREAD_MAIL_SCORE),
         key, [F.desc("score"), F.asc("sort_ts"), F.asc("email_idx")], TOP_MAILS)
-    relevant = hot.top_k(relevant.drop("rank"), key, ["sort_ts", "email_idx"], EVENTS).select(*key, "email_idx")
+    relevant = cut_lineage(hot.top_k(relevant.drop("rank"), key, ["sort_ts", "email_idx"], EVENTS).select(*key, "email_idx"))
     bare = best.where("exact_name").select(*key).join(relevant, key, "left_anti")
     heads = hot.top_k(members, ["deal_id", "thread_key"], ["sort_ts", "email_idx"], EVENTS).select("deal_id", "thread_key", "email_idx")
     relevant = relevant.unionByName(bare.join(heads, ["deal_id", "thread_key"]).select(*key, "email_idx"))
@@ -333,7 +334,7 @@ def mentions(items: DataFrame, members: DataFrame) -> DataFrame:
     words = F.filter(F.regexp_extract_all("doc_key", F.lit(r"(\w+)"), F.lit(1)), lambda w: w != "")
     names = names.withColumn("_w", words)
     needs = names.select("deal_id", "doc_key", F.posexplode(F.filter("_w", lambda w: F.length(w) > 3)).alias("n", "needle"))
-    keyword = names.select("deal_id", "doc_key", F.element_at(F.array_sort("_w", lambda a, b: F.length(b) - F.length(a)), 1).alias("needle")).where("needle IS NOT NULL")
+    keyword = names.select("deal_id", "doc_key", F.get(F.array_sort("_w", lambda a, b: F.length(b) - F.length(a)), F.lit(0)).alias("needle")).where("needle IS NOT NULL")
     shown = members.select("deal_id", "email_idx", F.explode(F.array_distinct(F.regexp_extract_all("searchable", F.lit(r"(\w+)"), F.lit(1)))).alias("haystack"))
     pairs = containing(needs.select("needle").unionAll(keyword.select("needle")), shown.select("haystack"))
 

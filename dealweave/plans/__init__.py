@@ -1,3 +1,3 @@
 """Query plans by family; importing this package fills the registry."""
 
-from dealweave.plans import checklist, mail, signing  # noqa: F401
+from dealweave.plans import checklist, mail, records, redline, signing  # noqa: F401
