@@ -13,6 +13,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Text scoring is CPU-bound: small shuffles keep several tasks. Large ones are not affected,
+    # their partitions are far above this floor.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
 }
 
 

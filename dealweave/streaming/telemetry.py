@@ -51,6 +51,7 @@ def flush(raw: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 def daily_usage(usage: DataFrame, watermark: str | None = "1 hour") -> DataFrame:
     """Usage per day and feature. The watermark bounds the state of a stream; batch needs none."""
-    u = usage.withWatermark("event_ts", watermark) if watermark and usage.isStreaming else usage
+    u = usage.withColumn("event_ts", F.col("event_ts").cast("timestamp"))  # event time needs a zoned type
+    u = u.withWatermark("event_ts", watermark) if watermark and usage.isStreaming else u
     g = u.groupBy(F.window("event_ts", "1 day"), "feature").agg(*usage_measures())
     return g.select(F.col("window.start").alias("day"), *[c for c in g.columns if c != "window"])
