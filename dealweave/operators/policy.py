@@ -72,7 +72,8 @@ def effective_policy(parts: DataFrame, docs: DataFrame) -> DataFrame:
 def with_global(parts: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
     """Full effective policy: global fields for everyone, replaced by the identity's own."""
     shared = docs.where("scope = 'global'").groupBy("field").agg(F.max("value").alias("value")).withColumn("_one", F.lit(1))
-    base = parts.select("ident_id", F.lit(1).alias("_one")).join(shared, "_one").select("ident_id", "field", F.col("value").alias("g"))
+    # One document's fields: a handful of rows whatever the number of identities.
+    base = parts.select("ident_id", F.lit(1).alias("_one")).join(F.broadcast(shared), "_one").select("ident_id", "field", F.col("value").alias("g"))
     return base.join(own, ["ident_id", "field"], "full_outer").select("ident_id", "field", F.coalesce("value", "g").alias("value"))
 
 

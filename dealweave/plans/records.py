@@ -181,6 +181,14 @@ def stm_01(t):
     return normalized_events(raw, keep=["event_id"]).select("event_id", "collection", "event_type", "payload")
 
 
+@query("stm_02", f"SELECT CASE WHEN lower(trim(c)) IN ({', '.join(repr(c) for c in lx.TELEMETRY_COLLECTIONS)}) THEN lower(trim(c)) ELSE 'usage_history' END AS collection, count(*) AS events FROM (SELECT *, {COLL} AS c FROM v_usage) z GROUP BY 1")
+def stm_02(t):
+    from dealweave.streaming.telemetry import normalized_events
+
+    raw = t.v_usage.select(F.expr(COLL).alias("collection"), F.col("feature").alias("event_type"), F.col("props").alias("payload"))
+    return normalized_events(raw).groupBy("collection").agg(F.count(F.lit(1)).alias("events"))
+
+
 @query("mat_01", "SELECT event_id, round(value, 1) AS one, round(value, 4) AS four, CAST(round(value) AS BIGINT) AS whole FROM events")
 def mat_01(t):
     return t.events.select("event_id", F.round("value", 1).alias("one"), F.round("value", 4).alias("four"), F.round("value").cast("long").alias("whole"))

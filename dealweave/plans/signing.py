@@ -279,7 +279,7 @@ def udf_03(t):
 @query("sco_05")
 def sco_05(t):
     s, o = both_sides(t)
-    sp, op = X._profiles(X._profiled(s.where("kind = 'signature'"), [])), X._profiles(X._profiled(o, ["clean_name", "detected_name", "footer_name", "title_name"]))
+    sp, op = X.profiles(X.profiled(s.where("kind = 'signature'"), [])), X.profiles(X.profiled(o, ["clean_name", "detected_name", "footer_name", "title_name"]))
     return X.score_pairs(X.evidence_pairs(sp, op), sp, op)
 
 
