@@ -9,6 +9,7 @@ from dealweave import lexicon as lx
 from dealweave.functions import dates as D
 from dealweave.functions import text as T
 from dealweave.operators import hot
+from dealweave.session import cut_lineage
 
 
 def mailbox_summary(mail: DataFrame) -> DataFrame:
@@ -65,6 +66,8 @@ def by_matter(items: DataFrame) -> DataFrame:
         F.sum("meeting").alias("meetings"), F.sum("minutes").alias("meeting_minutes"),
         F.sum(F.col("minutes") + lx.MINUTES_PER_MAIL * mails).alias("total"),
     ).withColumn("_one", F.lit(1))
+    # The matter table is used twice below; written once, the mails are scanned once.
+    g = cut_lineage(g)
     # One total row, joined on a constant key: no window over all matters.
     whole = g.groupBy("_one").agg(F.greatest(F.sum("total"), F.lit(1)).alias("whole"))
     return g.join(F.broadcast(whole), "_one").select(
@@ -87,8 +90,8 @@ def period_totals(items: DataFrame) -> DataFrame:
 
 def hourly_mail(items: DataFrame) -> DataFrame:
     """Mails per hour label and matter, with the label's totals. Equal hours of different days merge."""
-    per = items.where("kind = 'mail'").groupBy(D.hour_label(F.col("at")).alias("time_label"), "matter_key").agg(
-        F.count(F.lit(1)).alias("matter_emails"))
+    per = cut_lineage(items.where("kind = 'mail'").groupBy(D.hour_label(F.col("at")).alias("time_label"), "matter_key").agg(
+        F.count(F.lit(1)).alias("matter_emails")))
     labels = per.groupBy("time_label").agg(
         F.sum("matter_emails").alias("label_emails"), F.count(F.lit(1)).alias("label_matters"))
     return per.join(F.broadcast(labels), "time_label")  # at most 24 labels
