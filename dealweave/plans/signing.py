@@ -296,7 +296,13 @@ def sco_07(t):
 
 @query("jon_07")
 def jon_07(t):
-    return X.match_schedules(*both_sides(t))
+    # Schedules that carry the heading of the agreement they belong to.
+    heading = F.concat(
+        F.lit("\nSIGNATURE PAGE TO "), F.when(F.col("signed_doc_id") % 2 == 0, "CREDIT").otherwise("GUARANTY"), F.lit(" AGREEMENT\nACME "),
+        (F.col("signed_doc_id") % 5).cast("string"), F.lit(" HOLDINGS LLC\nName: Jane Doe\nTitle: Chief Financial Officer"))
+    named = F.when(F.col("page_num") % 4 == 3, F.concat("page_text", heading)).otherwise(F.col("page_text"))
+    s = X.signed_pages(t.v_signed_pages.withColumn("page_text", named).withColumnRenamed("signed_doc_id", "doc_id"))
+    return X.match_schedules(s, X.original_pages(t.v_pages))
 
 
 def report(t):
