@@ -62,7 +62,7 @@ UNION ALL SELECT 'username', concat('user', CAST(c_custkey AS STRING)), 'allowed
 UNION ALL SELECT 'userid', concat('uid-', CAST(c_custkey AS STRING)), CASE WHEN c_custkey % 3 = 0 THEN 'role' ELSE 'blocked' END, CASE WHEN c_custkey % 3 = 0 THEN 'owner' ELSE 'off' END FROM customer WHERE c_custkey % 7 = 0"""
 OWN = f"""dc AS ({DOCS}), ow0 AS (SELECT ident_id, field, value, 1 AS r FROM v_identities JOIN dc ON scope = 'email' AND scope_key = replace(email, '@', '%40') UNION ALL SELECT ident_id, field, value, 2 FROM v_identities JOIN dc ON scope = 'username' AND scope_key = username UNION ALL SELECT ident_id, field, value, 3 FROM v_identities JOIN dc ON scope = 'userid' AND scope_key = user_id),
 ow AS (SELECT ident_id, field, arg_max(value, r) AS value FROM ow0 GROUP BY 1, 2), gl AS (SELECT field, value FROM dc WHERE scope = 'global'),
-ef AS (SELECT i.ident_id, g.field, coalesce(ow.value, g.value) AS value FROM v_identities i CROSS JOIN gl g LEFT JOIN ow ON ow.ident_id = i.ident_id AND ow.field = g.field UNION ALL SELECT ident_id, field, value FROM ow WHERE field NOT IN (SELECT field FROM gl))"""
+ef AS (SELECT i.ident_id, g.field, coalesce(ow.value, g.value) AS value FROM v_identities i JOIN gl g ON TRUE LEFT JOIN ow ON ow.ident_id = i.ident_id AND ow.field = g.field UNION ALL SELECT ident_id, field, value FROM ow WHERE field NOT IN (SELECT field FROM gl))"""
 
 
 @query("jon_12", f"WITH {OWN} SELECT ident_id, field, value FROM ef")
