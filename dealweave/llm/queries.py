@@ -1,4 +1,4 @@
 """All queries of the training-data operators; importing this module fills the registry."""
 
-from dealweave.llm import chat_format, exact_dedup, fingerprints, packing, pieces, sharding, simhash  # noqa: F401
+from dealweave.llm import chat_format, exact_dedup, fingerprints, language, packing, pieces, sharding, simhash, toxicity  # noqa: F401
 from dealweave.llm.registry import ORACLES, QUERIES  # noqa: F401
