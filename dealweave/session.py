@@ -34,22 +34,37 @@ def local_session(cores: str = "8", app: str = "dealweave") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate data that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
 
-    Only when neither that setting nor a context checkpoint folder exists (plain local
-    tests) is a throw-away folder chosen here.
+    A session on one machine may do without and gets a temporary folder; on a cluster executors
+    don't see each other's disks, so the setting is required there.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    chosen = sc._jsc.sc().getCheckpointDir()
+    if not folder and chosen.isDefined():
+        folder = chosen.get()
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    if chosen.isEmpty():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; Spark removes the files with the
+    DataFrame where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
