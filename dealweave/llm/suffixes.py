@@ -24,7 +24,7 @@ from dealweave.llm.registry import query, read
 SPAN = 50  # bytes of a repeated string
 GRAM = 24  # bytes of an anchor
 PART = 12 << 20  # bytes of text in a group of documents
-CONTEXTS = 3 << 20  # bytes of text that a block sorts, as a rule
+CONTEXTS = 1 << 20  # bytes of text that a block sorts, as a rule
 HEAVY = 4096  # groups of documents that may share an anchor before its windows are dealt out one by one
 SLICE = 1 << 21  # bytes hashed at a time
 WORD = 6  # bytes of a symbol
