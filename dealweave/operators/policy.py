@@ -73,30 +73,37 @@ def with_global(parts: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
     """Full effective policy: global fields for everyone, replaced by the identity's own."""
     shared = docs.where("scope = 'global'").groupBy("field").agg(F.max("value").alias("value")).withColumn("_one", F.lit(1))
     # One document's fields: a handful of rows whatever the number of identities.
-    base = parts.select("ident_id", F.lit(1).alias("_one")).join(F.broadcast(shared), "_one").select("ident_id", "field", F.col("value").alias("g"))
+    base = parts.select("ident_id", F.lit(1).alias("_one")).join(shared, "_one").select("ident_id", "field", F.col("value").alias("g"))
     return base.join(own, ["ident_id", "field"], "full_outer").select("ident_id", "field", F.coalesce("value", "g").alias("value"))
 
 
-def _field(names) -> Column:
-    """First present alias of a scalar field, from long (field, value) rows."""
-    return F.coalesce(*[F.max(F.when(F.col("field") == n, F.col("value"))) for n in names])
+def _field(names, filled: bool = False) -> Column:
+    """First present (or first filled) alias of a scalar field, from long (field, value) rows."""
+    test = lambda n: (F.col("field") == n) & ((F.col("value") != "") if filled else F.lit(True))
+    return F.coalesce(*[F.max(F.when(test(n), F.col("value"))) for n in names])
 
 
 def scalar_fields(fields: DataFrame, keys=("ident_id",)) -> DataFrame:
     return fields.groupBy(*keys).agg(
         _field(("status",)).alias("status"), _field(lx.BLOCK_ALL_KEYS).alias("block_all"), _field(lx.BLOCK_KEYS).alias("blocked"),
         _field(lx.ALLOW_KEYS).alias("allowed_flag"), _field(lx.ADMIN_KEYS).alias("admin_flag"), _field(("role",)).alias("role"),
-        _field(("message", "reason", "denied_message")).alias("message"), _field(("allowed_message",)).alias("allowed_message"))
+        _field(("message", "reason", "denied_message"), filled=True).alias("message"), _field(("allowed_message",)).alias("allowed_message"))
 
 
 def list_fields(fields: DataFrame, keys=()) -> DataFrame:
-    """(keys, list_name, entry): entries of the first non-empty alias of each list."""
+    """(keys, list_name, entry): entries of the first non-empty alias of each list.
+
+    Fields are merged before aliases are: pass the effective fields of an identity, not one document's."""
     alias = F.create_map(*[F.lit(x) for n, ks in lx.POLICY_LIST_KEYS.items() for a, k in enumerate(ks) for x in (k, f"{n}:{a}")])
     f = fields.withColumn("_a", F.try_element_at(alias, F.col("field"))).where("_a IS NOT NULL").withColumn("entries", T.policy_entries(F.col("value"))).where(F.size("entries") > 0)
     f = f.withColumns({"list_name": F.split_part("_a", F.lit(":"), F.lit(1)), "_n": F.split_part("_a", F.lit(":"), F.lit(2)).cast("int")})
     return f.groupBy(*keys, "list_name").agg(F.min_by("entries", "_n").alias("e")).select(*keys, "list_name", F.explode("e").alias("entry"))
 
 
+def list_aliases() -> list[str]:
+    return [k for ks in lx.POLICY_LIST_KEYS.values() for k in ks]
+
+
 def decide(parts: DataFrame, hits: DataFrame, present: DataFrame, scalars: DataFrame | None = None) -> DataFrame:
     """Decision cascade. ``hits`` and ``present`` are (ident_id, list_name): lists that match and
     lists that have any entry for the identity."""
@@ -126,13 +133,23 @@ def decide(parts: DataFrame, hits: DataFrame, present: DataFrame, scalars: DataF
 
 
 def access_decisions(identities: DataFrame, docs: DataFrame) -> DataFrame:
-    """Whole evaluation from policy documents. A list an identity overrides replaces the global one."""
+    """Whole evaluation from policy documents. An identity's own field replaces the global field of the same
+    name, an empty value clears it; only then does each list take its first non-empty alias.
+
+    Lists that no own field touches are the same for everyone and are matched against the global entries; where an own
+    field is an alias of the list, the identity has the list of its merged fields."""
     parts = identity_parts(identities)
     own = effective_policy(parts, docs)
     shared = docs.where("scope = 'global'").groupBy("field").agg(F.max("value").alias("value"))
-    own_lists, shared_lists = list_fields(own, ["ident_id"]), list_fields(shared)
-    has_own = own_lists.select("ident_id", "list_name").distinct()
-    hits = list_hits(parts, own_lists, own=True).unionAll(list_hits(parts, shared_lists).join(has_own, ["ident_id", "list_name"], "left_anti"))
+    alias = F.create_map(*[F.lit(x) for n, ks in lx.POLICY_LIST_KEYS.items() for k in ks for x in (k, n)])
+    touched = own.withColumn("list_name", F.try_element_at(alias, F.col("field"))).where("list_name IS NOT NULL").select("ident_id", "list_name").distinct()
+    of_list = shared.withColumn("list_name", F.try_element_at(alias, F.col("field"))).where("list_name IS NOT NULL")
+    kept = touched.join(of_list, "list_name").select("ident_id", "field", F.col("value").alias("g"))
+    merged = kept.join(own.where(F.col("field").isin(*list_aliases())), ["ident_id", "field"], "full_outer").select("ident_id", "field", F.coalesce("value", "g").alias("value"))
+    own_lists, shared_lists = list_fields(merged, ["ident_id"]), list_fields(shared)
+    hits = list_hits(parts, own_lists, own=True).unionAll(list_hits(parts, shared_lists).join(touched, ["ident_id", "list_name"], "left_anti"))
     names = F.broadcast(shared_lists.select("list_name").distinct().withColumn("_one", F.lit(1)))  # at most nine
-    present = has_own.unionAll(parts.select("ident_id", F.lit(1).alias("_one")).join(names, "_one").select("ident_id", "list_name")).distinct()
-    return decide(parts, hits, present, scalar_fields(with_global(parts, own, docs.where("field NOT LIKE '%\\\\_emails' AND field NOT LIKE '%\\\\_domains' AND field NOT LIKE '%\\\\_users'"))))
+    everyone = parts.select("ident_id", F.lit(1).alias("_one")).join(names, "_one").select("ident_id", "list_name").join(touched, ["ident_id", "list_name"], "left_anti")
+    present = own_lists.select("ident_id", "list_name").distinct().unionAll(everyone).distinct()
+    plain = docs.where(~F.col("field").isin(*list_aliases()))
+    return decide(parts, hits, present, scalar_fields(with_global(parts, own.where(~F.col("field").isin(*list_aliases())), plain)))

@@ -59,6 +59,8 @@ UNION ALL SELECT 'global', '', 'allowed_emails', '*' FROM customer WHERE c_custk
 UNION ALL SELECT 'global', '', 'role', 'member' FROM customer WHERE c_custkey = 1
 UNION ALL SELECT 'email', replace(lower(concat('c', CAST(c_custkey AS STRING), '@', c_mktsegment, '.example.com')), '@', '%40'), CASE WHEN c_custkey % 2 = 0 THEN 'blocked' ELSE 'role' END, CASE WHEN c_custkey % 2 = 0 THEN 'yes' ELSE 'admin' END FROM customer WHERE c_custkey % 10 < 3
 UNION ALL SELECT 'username', concat('user', CAST(c_custkey AS STRING)), 'allowed_emails', 'nobody@example.com' FROM customer WHERE c_custkey < 20
+UNION ALL SELECT 'username', concat('user', CAST(c_custkey AS STRING)), 'banned_domains', 'other.org; .building.example.com' FROM customer WHERE c_custkey % 4 = 1
+UNION ALL SELECT 'userid', concat('uid-', CAST(c_custkey AS STRING)), 'blocked_domains', '' FROM customer WHERE c_custkey % 9 = 0
 UNION ALL SELECT 'userid', concat('uid-', CAST(c_custkey AS STRING)), CASE WHEN c_custkey % 3 = 0 THEN 'role' ELSE 'blocked' END, CASE WHEN c_custkey % 3 = 0 THEN 'owner' ELSE 'off' END FROM customer WHERE c_custkey % 7 = 0"""
 OWN = f"""dc AS ({DOCS}), ow0 AS (SELECT ident_id, field, value, 1 AS r FROM v_identities JOIN dc ON scope = 'email' AND scope_key = replace(email, '@', '%40') UNION ALL SELECT ident_id, field, value, 2 FROM v_identities JOIN dc ON scope = 'username' AND scope_key = username UNION ALL SELECT ident_id, field, value, 3 FROM v_identities JOIN dc ON scope = 'userid' AND scope_key = user_id),
 ow AS (SELECT ident_id, field, arg_max(value, r) AS value FROM ow0 GROUP BY 1, 2), gl AS (SELECT field, value FROM dc WHERE scope = 'global'),
@@ -72,8 +74,21 @@ def jon_12(t):
     return PO.with_global(p, PO.effective_policy(p, docs), docs)
 
 
-@query("pip_14", f"""WITH {OWN}, sc AS (SELECT ident_id, max(CASE WHEN field = 'blocked' THEN value END) AS blocked, max(CASE WHEN field = 'role' THEN value END) AS role, max(CASE WHEN field = 'allowed_emails' THEN value END) AS ae FROM ef GROUP BY 1),
-ds AS (SELECT i.ident_id, coalesce(blocked = 'yes', FALSE) AS hard, split_part(email, '@', 2) = 'machinery.example.com' AS bd, coalesce(ae, '') = '*' AS al, role FROM v_identities i JOIN sc USING (ident_id))
+def _first_filled(*aliases):
+    return "coalesce(" + ", ".join(f"max(CASE WHEN field = '{a}' AND trim(value) <> '' THEN value END)" for a in aliases) + ", '')"
+
+
+def _matches(entries, *values):
+    """Whether an entry of a list matches one of the values, as the rule is written."""
+    one = lambda v: f"e = {v} OR e IN ('*', 'all') OR (e[1] = '.' AND ends_with({v}, e)) OR (e[1:2] = '*.' AND ends_with({v}, e[2:])) OR (contains({v}, '@') AND ((e[1] = '@' AND ends_with({v}, e)) OR (e[1:2] = '*@' AND ends_with({v}, e[2:]))))"
+    rule = " OR ".join(f"({v} <> '' AND ({one(v)}))" for v in values)
+    return f"len(list_filter(list_transform(string_split_regex({entries}, '[,\\n;]+'), lambda x: lower(trim(x))), lambda e: e <> '' AND ({rule}))) > 0"
+
+
+@query("pip_14", f"""WITH {OWN}, sc AS (SELECT ident_id, max(CASE WHEN field = 'blocked' THEN value END) AS blocked, max(CASE WHEN field = 'role' THEN value END) AS role,
+ {_first_filled('allowed_emails', 'allowedEmails', 'allowlist', 'approved_emails')} AS ae, {_first_filled('blocked_domains', 'blockedDomains', 'denied_domains', 'banned_domains')} AS bl FROM ef GROUP BY 1),
+id AS (SELECT ident_id, lower(email) AS em, split_part(lower(email), '@', 1) AS lo, split_part(lower(email), '@', 2) AS dm FROM v_identities),
+ds AS (SELECT ident_id, coalesce(blocked = 'yes', FALSE) AS hard, {_matches('bl', 'dm')} AS bd, ae = '' OR {_matches('ae', 'em', 'lo')} AS al, role FROM id JOIN sc USING (ident_id))
 SELECT ident_id, NOT hard AND NOT bd AND al AS allowed, NOT hard AND role IN ('admin', 'owner') AS is_admin, CASE WHEN hard THEN 'policy' WHEN bd THEN 'blocked domain' WHEN NOT al THEN 'not on an allow list' ELSE 'allowed' END AS reason FROM ds""")
 def pip_14(t):
     return PO.access_decisions(t.v_identities, spark_sql(t.spark, t.sf_dir, DOCS)).drop("message")
