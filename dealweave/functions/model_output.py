@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from dealweave import lexicon as lx
 from dealweave.functions import mail as M
@@ -18,29 +16,22 @@ MATCH = (
 )
 
 
-def first_object(text: str) -> str | None:
-    """The first balanced {...} of a text; braces inside strings do not count."""
-    start = text.find("{")
-    if start < 0:
-        return None
-    level, quoted, skip = 0, False, False
-    for at, ch in enumerate(text[start:], start):
-        if skip:
-            skip = False
-        elif quoted:
-            quoted, skip = ch != '"', ch == "\\"
-        elif ch == '"':
-            quoted = True
-        elif ch in "{}":
-            level += 1 if ch == "{" else -1
-            if level == 0:
-                return text[start:at + 1]
-    return None
+# a string literal (to the end of the text when it is not closed), one brace, or a stretch without either
+TOKENS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"?|[{}]|[^"{}]+'
 
 
-@F.pandas_udf(StringType())
-def balanced_object(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: first_object(t) if isinstance(t, str) else None)
+def balanced_object(c: Column) -> Column:
+    """The first balanced {...} of a text, null if there is none. The level runs over tokens, so braces in strings do not count."""
+    tokens = F.regexp_extract_all(F.regexp_extract(c, r"(?s)\{.*", 0), F.lit(TOKENS), F.lit(0))
+    start = F.struct(F.lit(0).alias("level"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
+
+    def step(acc, token):
+        level = acc["level"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        seen = acc["seen"] + 1
+        return F.struct(level.alias("level"), seen.alias("seen"), F.when((acc["end"] == 0) & (level == 0), seen).otherwise(acc["end"]).alias("end"))
+
+    end = F.aggregate(tokens, start, step)["end"]
+    return F.when(end > 0, F.array_join(F.slice(tokens, 1, end), ""))
 
 
 def _valid(c: Column) -> Column:
@@ -49,28 +40,29 @@ def _valid(c: Column) -> Column:
 
 
 def json_text(c: Column) -> Column:
-    """JSON inside a fence, the whole text when it is JSON, else the first balanced object.
-
-    The Python step only runs on rows the built-in checks could not settle.
-    """
+    """JSON inside a fence, the whole text when it is JSON, else the first balanced object."""
     text = T.strip(F.coalesce(c, F.lit("")))
     fenced = T.strip(F.regexp_extract(text, r"(?s)^```[^\n]*\n(.*?)(?:```|$)", 1))
     body = F.when(fenced != "", fenced).otherwise(text)
-    return F.when(_valid(body), body).otherwise(balanced_object(F.when(~_valid(body), body)))
+    return F.when(_valid(body), body).otherwise(balanced_object(body))
 
 
-def decisions(df: DataFrame, keys, payload: str = "payload") -> DataFrame:
+def decisions(df: DataFrame, keys, payload: str = "payload", most_indices: int | None = None, most_threads: int | None = None) -> DataFrame:
     """One row per decision. Accepts {"matches": [...]} and the older {"name": {...}} form.
 
-    ``seq`` orders payloads; the last decision for a row or name is the one that counts.
+    ``seq`` orders payloads; the last decision for a row or name is the one that counts. All listed mails and
+    threads are kept; 15 and 8 are the usual bounds of a prompt.
     """
+    def upto(c, n):
+        return c if n is None else F.slice(c, 1, n)
+
     j = df.select(*keys, "seq", json_text(F.col(payload)).alias("_j"))
     new = j.select(*keys, "seq", F.explode(F.from_json("_j", f"matches array<struct<{_ddl(MATCH)}>>")["matches"]).alias("m"), F.lit(None).cast("string").alias("_k"))
     old = j.select(*keys, "seq", F.explode(F.from_json("_j", "map<string,string>")).alias("_k", "_v")).where("_k <> 'matches'")
     old = old.select(*keys, "seq", F.from_json("_v", MATCH).alias("m"), "_k").where("_v LIKE '{%'")
     rows = new.unionByName(old)
-    idx = F.filter(F.transform(F.slice(F.coalesce("m.matching_email_indices", F.array().cast("array<string>")), 1, 15), lambda x: x.try_cast("long")), lambda x: x >= 0)
-    ids = F.filter(F.transform(F.slice(F.coalesce("m.matching_thread_ids", F.array().cast("array<string>")), 1, 8), T.strip), lambda x: x != "")
+    idx = F.filter(F.transform(upto(F.coalesce("m.matching_email_indices", F.array().cast("array<string>")), most_indices), lambda x: x.try_cast("long")), lambda x: x >= 0)
+    ids = F.filter(F.transform(upto(F.coalesce("m.matching_thread_ids", F.array().cast("array<string>")), most_threads), T.strip), lambda x: x != "")
     status = M.model_status(F.col("m.status"))
     conf = F.coalesce(F.col("m.confidence").try_cast("double"), F.lit(0.5))
     out = rows.select(

@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from dealweave.functions import text as T
 from dealweave.functions.pages import _ratio, sequence_ratio
 from dealweave.operators import hot
-from dealweave.operators.assign import greedy_rounds
+from dealweave.operators.assign import first_come
 from dealweave.session import cut_lineage
 
 FUZZY_ROW, FUZZY_HEADER, TABLE_SCORE = 0.6, 0.7, 0.3  # fixed values
@@ -73,8 +73,8 @@ def fuzzy_rows(orig: DataFrame, mod: DataFrame) -> DataFrame:
     texts = o.select("table_id", "a").distinct().join(m.select("table_id", "b").distinct(), "table_id").where(bound > FUZZY_ROW)
     close = texts.withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") > FUZZY_ROW)
     pairs = close.join(o, ["table_id", "a"]).join(m, ["table_id", "b"]).select(
-        "table_id", "left", "right", "ratio", F.lit(1).alias("cap_left"), F.lit(1).alias("cap_right"))
-    got = greedy_rounds(pairs, [F.col("left").alias("o"), (-F.col("ratio")).alias("r")], ["table_id"])
+        "table_id", "left", "right", "ratio")
+    got = first_come(pairs, [(-F.col("ratio")).alias("r")], ["table_id"])
     return got.join(pairs.select("table_id", "left", "right", "ratio"), ["table_id", "left", "right"]).select(
         "table_id", F.col("left").alias("orig_idx"), F.col("right").alias("mod_idx"), F.col("ratio").alias("confidence"))
 
@@ -154,8 +154,8 @@ def table_scores(orig: DataFrame, mod: DataFrame) -> DataFrame:
 def match_tables(orig: DataFrame, mod: DataFrame) -> DataFrame:
     """Tables paired greedily in original order, with unmatched tables of both sides kept."""
     pairs = table_scores(orig, mod).where(F.col("score") > TABLE_SCORE).select(
-        "pair_id", F.col("ot").alias("left"), F.col("mt").alias("right"), "score", F.lit(1).alias("cap_left"), F.lit(1).alias("cap_right"))
-    got = greedy_rounds(pairs, [F.col("left").alias("o"), (-F.col("score")).alias("s")], ["pair_id"]).select(
+        "pair_id", F.col("ot").alias("left"), F.col("mt").alias("right"), "score")
+    got = first_come(pairs, [(-F.col("score")).alias("s")], ["pair_id"]).select(
         "pair_id", F.col("left").alias("orig_table"), F.col("right").alias("mod_table"))
     all_o = orig.select("pair_id", F.col("table_id").alias("orig_table")).distinct()
     all_m = mod.select("pair_id", F.col("table_id").alias("mod_table")).distinct()

@@ -311,7 +311,6 @@ def src_07(t):
     return e.select("event_id", long("pos").alias("pos"), "summary", F.date_format("start_ts", "yyyy-MM-dd'T'HH:mm:ss").alias("start"), long("duration_minutes").alias("duration_minutes"))
 
 
-@query("udf_04", "SELECT checklist_id, row_id, regexp_extract(payload, '(?s)\\{.*\\}') AS fragment FROM v_decisions WHERE starts_with(payload, 'Here')")
+@query("udf_04", "SELECT checklist_id, row_id, nullif(regexp_extract(payload, '(?s)\\{.*\\}'), '') AS fragment FROM v_decisions")
 def udf_04(t):
-    d = t.v_decisions.where(F.col("payload").startswith("Here"))
-    return d.select("checklist_id", "row_id", J.balanced_object(F.col("payload")).alias("fragment"))
+    return t.v_decisions.select("checklist_id", "row_id", J.balanced_object(F.col("payload")).alias("fragment"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dealweave.operators import hot, redline
-from dealweave.operators.assign import greedy_rounds, to_units
+from dealweave.operators.assign import first_come, greedy_rounds, to_units
 from dealweave.operators.substring import containing
 
 
@@ -68,3 +68,27 @@ def test_column_map(spark):
     h = lambda *c: spark.createDataFrame([(1, list(c))], "table_id long, cells array<string>")
     r = redline.column_mappings(h("Part", "Name", "Size"), h("Name", "Parts", "Weight", "New")).first()
     assert {(p.o, p.m) for p in r.map} == {(0, 1), (1, 0), (2, 2)} and r.added_columns == [3] and r.deleted_columns == []
+
+
+def test_first_come_equals_walking_left_in_order(spark):
+    rnd = random.Random(8)
+    rows = {(g, a, b): rnd.randint(0, 3) for g in "xy" for a in range(14) for b in range(14) if rnd.random() < 0.4}
+    want, used = set(), set()
+    for g, a in sorted({k[:2] for k in rows}):
+        free = [(-s, b) for (h, c, b), s in rows.items() if (h, c) == (g, a) and (g, b) not in used]
+        if free:
+            b = min(free)[1]
+            used.add((g, b))
+            want.add((g, a, b))
+    df = spark.createDataFrame([(*k, s) for k, s in rows.items()], "g string, left long, right long, s int")
+    got = {(r.g, r.left, r.right) for r in first_come(df, [(-F.col("s")).alias("s")], ["g"]).collect()}
+    assert got == want
+    assert first_come(df.limit(0), [F.col("s")], ["g"]).count() == 0
+
+
+def test_first_come_takes_few_rounds_where_best_partners_differ(spark):
+    n = 5000
+    df = spark.range(n).select(F.lit(1).alias("g"), F.col("id").alias("left"), F.explode(F.array(*[F.pmod(F.col("id") + k, F.lit(n)) for k in range(4)])).alias("right"))
+    df = df.withColumn("s", F.when(F.col("left") == F.col("right"), 9).otherwise(8))
+    got = first_come(df, [(-F.col("s")).alias("s")], ["g"]).collect()
+    assert len(got) == n and all(r.left == r.right for r in got) and got[0].round < 20

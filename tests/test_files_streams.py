@@ -127,16 +127,29 @@ def test_policy_entry_forms(spark):
         assert {r.ident_id for r in PO.list_hits(p, rules).collect()} == want, entry
 
 
-def test_clauses(spark):
-    cl = spark.createDataFrame([(1, 1, "[DELETE_ME]", ""), (1, 2, "[Tax clause [ADVISOR_NAME] end]", "Only include if advisor is a US taxpayer."), (1, 3, "[Pay in [$/EUROS/GBP] only]", "")], "template_id int, clause_id int, clause_text string, footnote_text string")
-    rec = spark.createDataFrame([(1, 1, {"advisor_name": "Alex", "is_us_taxpayer": "yes", "currency": "EUR"}), (2, 1, {"advisor_name": "Alex", "is_us_taxpayer": "no"}), (3, 1, {"is_us_taxpayer": "yes", "currency": "USD"})], "record_id int, template_id int, data map<string,string>")
-    got = {(r.record_id, r.clause_id): (r.outcome, r.text, r.missing) for r in CL.assemble(rec, cl).collect()}
-    assert got[1, 1][0] == "deleted" and got[1, 2] == ("filled", "Tax clause Alex end", "") and got[1, 3][1] == "Pay in EUROS only"
-    assert got[2, 2][0] == "deleted" and got[2, 3] == ("preserved", "[Pay in [$/EUROS/GBP] only]", "$/EUROS/GBP")
-    assert got[3, 2] == ("preserved", "[Tax clause [ADVISOR_NAME] end]", "ADVISOR_NAME") and got[3, 3][1] == "Pay in $ only"
-
-
-def test_edits(spark):
-    d = spark.createDataFrame([("The Closing Date is January 1, 2026. Borrower: Old Parent, LLC",)], "text string")
-    r = DO.apply_edits(d, [("January 1, 2026", "June 30, 2026"), ("Old Parent, LLC", "New Parent, LLC")]).first()
-    assert r.counts == [1, 1] and r.edited == "The Closing Date is June 30, 2026. Borrower: New Parent, LLC"
+def test_clauses_follow_their_notes(spark):
+    notes = [("[STRIKE]", ""), ("[Levy on [ADVISOR_NAME] applies]", "Only include if advisor is a US taxpayer."), ("[Fees in [$/EUROS/GBP]]", "")]
+    clauses = spark.createDataFrame([(1, n, text, note) for n, (text, note) in enumerate(notes, 1)], "template_id int, clause_id int, clause_text string, footnote_text string")
+    people = {1: {"advisor_name": "Ida", "is_us_taxpayer": "yes", "currency": "EUR"}, 2: {"advisor_name": "Ida", "is_us_taxpayer": "no"}, 3: {"is_us_taxpayer": "yes", "currency": "USD"}}
+    got = {(r.record_id, r.clause_id): (r.outcome, r.text, r.missing) for r in CL.assemble(
+        spark.createDataFrame([(i, 1, d) for i, d in people.items()], "record_id int, template_id int, data map<string,string>"), clauses).collect()}
+    assert {got[i, 1][0] for i in people} == {"deleted"}  # a clause of one placeholder-like word
+    assert got[1, 2] == ("filled", "Levy on Ida applies", "") and got[2, 2][0] == "deleted" and got[3, 2] == ("preserved", notes[1][0], "ADVISOR_NAME")
+    assert [got[i, 3][1:] for i in people] == [("Fees in EUROS", ""), (notes[2][0], "$/EUROS/GBP"), ("Fees in $", "")]
+
+
+def test_edits_are_counted(spark):
+    d = spark.createDataFrame([("Rent of 40 a week; 40 a week in arrears for Birch.",)], "text string")
+    r = DO.apply_edits(d, [("40 a week", "45 a week"), ("Birch", "Quillon"), ("absent", "x")]).first()
+    assert (r.counts, r.edited) == ([2, 1, 0], "Rent of 45 a week; 45 a week in arrears for Quillon.")
+
+
+def test_own_policy_fields_are_merged_before_aliases(spark):
+    ids = spark.createDataFrame([(1, "a@x.com", "ann", "u1"), (2, "b@x.com", "ben", "u2"), (3, "c@x.com", "cy", "u3"), (4, "d@other.org", "ann", "u4")], "ident_id long, email string, username string, user_id string")
+    docs = spark.createDataFrame([
+        ("global", "", "blocked_domains", "x.com"), ("username", "ann", "banned_domains", "other.org"), ("userid", "u2", "blocked_domains", ""),
+        ("global", "", "reason", "closed"), ("username", "cy", "message", "")], "scope string, scope_key string, field string, value string")
+    got = {r.ident_id: r for r in PO.access_decisions(ids, docs).collect()}
+    assert not got[1].allowed  # the global list comes first among the aliases
+    assert got[2].allowed and got[4].allowed  # an empty own list clears the global one
+    assert not got[3].allowed and got[3].message == "closed"
