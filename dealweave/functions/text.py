@@ -111,12 +111,13 @@ def split_people(c: Column) -> Column:
     return unique_cased(F.split(F.coalesce(c, F.lit("")), ";"))
 
 
-def clean_body(c: Column) -> Column:
+def clean_body(c: Column, lines: int | None = None) -> Column:
     """Current message only: quoted lines, reply history, mail headers and notices removed.
 
     Works on the whole text with anchored multi-line patterns, so it stays inside codegen:
     tidy lines, drop quotes, cut at the first hard stop, cut at the second header line,
-    drop the remaining header line, keep 80 lines, join with spaces.
+    drop the remaining header line, join with spaces. ``lines`` keeps the first so many (a prompt of
+    the usual size takes 80); by default the whole message counts.
     """
     header = r"(?:from|sent|to|cc|subject):"
     t = F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\S\r\n]*[\r\n\x0B\x0C]\s*", "\n")
@@ -130,7 +131,8 @@ def clean_body(c: Column) -> Column:
     )
     t = F.regexp_replace(t, rf"(?im)(^{header}.*\n[\s\S]*?)^{header}[\s\S]*", "$1")
     t = F.regexp_replace(t, rf"(?im)^{header}.*(?:\n|$)", "")
-    t = F.regexp_extract(t, r"^(?:[^\n]*\n){0,79}[^\n]*", 0)
+    if lines:
+        t = F.substring_index(t, "\n", lines)
     return F.trim(F.regexp_replace(t, r"\n", " "))
 
 

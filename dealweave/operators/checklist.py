@@ -42,13 +42,15 @@ def header_rows(grid: DataFrame, profile: str = "checklist", file_key: str = "fi
     return hot.top_k(head, [file_key], order, 1).drop("rank", "below").withColumnRenamed("row_idx", "header_idx")
 
 
-def document_columns(grid: DataFrame, headers: DataFrame, profile: str = "checklist", file_key: str = "file_id") -> DataFrame:
-    """Most document-like column per table from its first data rows; first best column wins."""
-    blocked, rows, max_len = lx.COLUMN_PROFILES[profile]
+def document_columns(grid: DataFrame, headers: DataFrame, profile: str = "checklist", file_key: str = "file_id", rows: int | None = None) -> DataFrame:
+    """Most document-like column per table; first best column wins. All data rows vote, or the first ``rows``
+    (the profile names a usual number)."""
+    blocked, _, max_len = lx.COLUMN_PROFILES[profile]
     top = headers.select(file_key, "table_id", "header_idx", F.col("cells").alias("headers"))
     filled = F.exists("cells", lambda c: T.squash(c) != "")
     data = grid.join(top, [file_key, "table_id"]).where((F.col("row_idx") > F.col("header_idx")) & filled)
-    data = hot.top_k(data, [file_key, "table_id"], ["row_idx"], rows)
+    if rows:
+        data = hot.top_k(data, [file_key, "table_id"], ["row_idx"], rows)
     cells = data.select(file_key, "table_id", "headers", F.posexplode("cells").alias("col_idx", "raw"))
     cells = cells.withColumns({
         "cell": T.squash(F.col("raw")),
@@ -118,10 +120,11 @@ def checklist_items(rows: DataFrame) -> DataFrame:
     )
 
 
-def deal_anchors(items: DataFrame, names: DataFrame) -> DataFrame:
+def deal_anchors(items: DataFrame, names: DataFrame, rows: int | None = None) -> DataFrame:
     """Up to 12 anchor tokens per deal: tokens of the list's name, then up to six tokens shared
-    by two or more of its first 250 rows (most frequent first). Returns (deal_id, pos, token)."""
-    early = hot.top_k(items, ["deal_id"], ["row_id"], 250)
+    by two or more of its rows (most frequent first); ``rows`` looks at the first so many of a list (250 is usual).
+    Returns (deal_id, pos, token)."""
+    early = hot.top_k(items, ["deal_id"], ["row_id"], rows) if rows else items
     both = F.concat_ws(" ", "document_name", "row_context")
     counts = (
         early.select("deal_id", F.explode(T.deal_tokens(both)).alias("token"))

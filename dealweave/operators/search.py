@@ -104,9 +104,10 @@ def search_attachments(mail: DataFrame, text: str) -> DataFrame:
     return mail.where(F.col("has_attachments") & anyhit)
 
 
-def with_relevance(mail: DataFrame, text: str) -> DataFrame:
+def with_relevance(mail: DataFrame, text: str, body_chars: int | None = None) -> DataFrame:
     """Add ``score`` and ``matched_titles`` for one query. The query is analysed on the driver,
-    so each mail is scored by plain substring tests against literals."""
+    so each mail is scored by plain substring tests against literals. Whole bodies are searched;
+    ``body_chars`` looks at the first so many characters (4,000 for a prompt)."""
     raw = text.strip().lower()
     norm = " ".join("".join(ch if ch.isascii() and ch.isalnum() else " " for ch in raw).split())
     tokens = [t for t in norm.split() if len(t) >= 3 and t not in lx.QUERY_STOPWORDS]
@@ -123,10 +124,11 @@ def with_relevance(mail: DataFrame, text: str) -> DataFrame:
         full = F.when(h == len(tokens), 75).otherwise(0) if len(tokens) >= 2 else F.lit(0)
         return F.greatest(has(F.lower(title), raw, 90), has(n, norm, 110), h * 14, full)
 
+    body = T.clean_body(F.col("body"))
     mail = mail.withColumns({
         "titles": T.split_titles(F.col("attachments")),
         "_subj": T.search_form(F.col("subject")),
-        "_body": T.search_form(F.substring(T.clean_body(F.col("body")), 1, 4000)),
+        "_body": T.search_form(F.substring(body, 1, body_chars) if body_chars else body),
         "_from": T.search_form(F.col("sender")),
         "_to": T.search_form(F.concat_ws(" ", F.col("recipients"), F.col("cc"))),
     })

@@ -53,12 +53,12 @@ def src_09(t):
 
 
 def _doc_col_sql(profile):
-    blocked, rows, max_len = lx.COLUMN_PROFILES[profile]
+    blocked, _, max_len = lx.COLUMN_PROFILES[profile]
     ban = " OR ".join(f"contains(lower(hd), '{w}')" for w in blocked)
     pen = f"CASE WHEN length(c) > {max_len} OR regexp_full_match(c, '[\\d\\W_]+') THEN 2 ELSE 0 END" if max_len else "0"
     return f"""{_header_sql('checklist')},
 d AS (SELECT g.file_id, g.table_id, g.row_idx, g.cells, hb.cells AS heads, row_number() OVER (PARTITION BY g.file_id ORDER BY g.row_idx) AS rn FROM g JOIN hb ON g.file_id = hb.file_id AND g.table_id = hb.table_id WHERE g.row_idx > hb.row_idx AND array_to_string(g.cells, '') <> ''),
-x AS (SELECT file_id, table_id, unnest(cells) AS c, unnest(heads) AS hd, unnest(range(0, 5)) AS col_idx FROM d WHERE rn <= {rows}),
+x AS (SELECT file_id, table_id, unnest(cells) AS c, unnest(heads) AS hd, unnest(range(0, 5)) AS col_idx FROM d),
 s AS (SELECT file_id, table_id, col_idx, sum(CASE WHEN c = '' THEN 0 ELSE 2 + CASE WHEN regexp_matches(c, '[a-zA-Z]') THEN 3 ELSE 0 END - {pen} END) AS score FROM x WHERE NOT ({ban}) GROUP BY 1, 2, 3),
 b AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, col_idx) AS rn FROM s)"""
 
@@ -136,10 +136,10 @@ def _batch_sql(src, size, cap):
  FROM (SELECT *, row_number() OVER (PARTITION BY deal_id ORDER BY row_id) AS rn FROM {src}) z WHERE rn <= {cap} GROUP BY 1, 2"""
 
 
-@query("prj_04", f"WITH {ITEMS}, pu AS (SELECT checklist_id AS deal_id, row_id, {q.squash('document_name')} AS document_name, {CTX(('Signatories', 'signatories'))} AS row_context FROM v_rows WHERE {q.squash('document_name')} <> '') SELECT 'checklist' AS kind, * FROM ({_batch_sql('it', 10, 220)}) a UNION ALL SELECT 'punchlist', * FROM ({_batch_sql('pu', 40, 10**12)}) b")
+@query("prj_04", f"WITH {ITEMS}, pu AS (SELECT checklist_id AS deal_id, row_id, {q.squash('document_name')} AS document_name, {CTX(('Signatories', 'signatories'))} AS row_context FROM v_rows WHERE {q.squash('document_name')} <> '') SELECT 'checklist' AS kind, * FROM ({_batch_sql('it', 10, 10**12)}) a UNION ALL SELECT 'punchlist', * FROM ({_batch_sql('pu', 40, 10**12)}) b")
 def prj_04(t):
     f = ["row_id", "document_name", "row_context"]
-    a = C.prompt_batches(items(t), "deal_id", 10, 220, f).select(F.lit("checklist").alias("kind"), "*")
+    a = C.prompt_batches(items(t), "deal_id", 10, None, f).select(F.lit("checklist").alias("kind"), "*")
     return a.unionByName(C.prompt_batches(C.punch_items(t.v_rows), "deal_id", 40, None, f).select(F.lit("punchlist").alias("kind"), "*"))
 
 
@@ -248,7 +248,7 @@ def pip_05(t):
 NAME_SQL = "SELECT DISTINCT checklist_id AS deal_id, concat('Automobile Building Closing Checklist ', CAST(checklist_id AS STRING), '.docx') AS checklist_name FROM v_rows"
 ANCHORS = f"""
 an AS (SELECT deal_id, unnest(ts) AS token, unnest(range(0, len(ts))) AS pos FROM (SELECT deal_id, {q.ordered_distinct(q.tokens(q.stem('checklist_name'), 4, lx.DEAL_STOPWORDS))} AS ts FROM ({NAME_SQL}) z) y),
-ac0 AS (SELECT deal_id, token, count(*) AS n FROM (SELECT deal_id, unnest(list_distinct({q.tokens("document_name || ' ' || row_context", 4, lx.DEAL_STOPWORDS)})) AS token FROM (SELECT *, row_number() OVER (PARTITION BY deal_id ORDER BY row_id) AS rn FROM it) z WHERE rn <= 250) y GROUP BY 1, 2),
+ac0 AS (SELECT deal_id, token, count(*) AS n FROM (SELECT deal_id, unnest(list_distinct({q.tokens("document_name || ' ' || row_context", 4, lx.DEAL_STOPWORDS)})) AS token FROM (SELECT *, row_number() OVER (PARTITION BY deal_id ORDER BY row_id) AS rn FROM it) z) y GROUP BY 1, 2),
 ac1 AS (SELECT *, row_number() OVER (PARTITION BY deal_id ORDER BY n DESC, token) AS rn FROM ac0 WHERE n >= 2 AND (deal_id, token) NOT IN (SELECT (deal_id, token) FROM an)),
 ac2 AS (SELECT deal_id, token, row_number() OVER (PARTITION BY deal_id ORDER BY tier, pos) AS anchor_pos FROM (SELECT deal_id, token, 0 AS tier, pos FROM an UNION ALL SELECT deal_id, token, 1, rn FROM ac1 WHERE rn <= 6) z),
 anc AS (SELECT * FROM ac2 WHERE anchor_pos <= 12)"""

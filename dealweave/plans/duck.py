@@ -82,7 +82,7 @@ def clean_body_cte(src: str, key: str, body: str, name: str = "cb") -> str:
   FROM {name}_f WINDOW w AS (PARTITION BY {key} ORDER BY i)),
 {name}_k AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY i) AS rn FROM {name}_s WHERE sn = 0 AND hn < 2 AND NOT h),
 {name} AS (SELECT s.{key}, coalesce(string_agg(k.l, ' ' ORDER BY k.i), '') AS clean
-  FROM (SELECT DISTINCT {key} FROM {src}) s LEFT JOIN (SELECT * FROM {name}_k WHERE rn <= 80) k USING ({key}) GROUP BY s.{key})"""
+  FROM (SELECT DISTINCT {key} FROM {src}) s LEFT JOIN {name}_k k USING ({key}) GROUP BY s.{key})"""
 
 
 def priority(x: str) -> str:

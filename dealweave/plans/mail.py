@@ -77,7 +77,7 @@ tn AS (SELECT *, {q.norm('title')} AS n FROM ti),
 th AS (SELECT *, {hit('n')} AS h FROM tn),
 tsc AS (SELECT *, greatest(CASE WHEN contains(lower(title), '{norm}') THEN 90 ELSE 0 END, CASE WHEN contains(n, '{norm}') THEN 110 ELSE 0 END, 14 * h, CASE WHEN h = 3 THEN 75 ELSE 0 END) AS s FROM th),
 tat AS (SELECT email_idx, max(s) AS att, coalesce(string_agg(CASE WHEN s > 0 AND pos <= 5 THEN title END, '|' ORDER BY pos), '') AS matched FROM tsc GROUP BY email_idx),
-f AS (SELECT e.*, clean, coalesce(att, 0) AS att, coalesce(matched, '') AS matched, {q.norm('subject')} AS sj, {q.norm('clean[1:4000]')} AS bd, {q.norm('sender')} AS fr, {q.norm("recipients || ' ' || cc")} AS rc
+f AS (SELECT e.*, clean, coalesce(att, 0) AS att, coalesce(matched, '') AS matched, {q.norm('subject')} AS sj, {q.norm('clean')} AS bd, {q.norm('sender')} AS fr, {q.norm("recipients || ' ' || cc")} AS rc
   FROM v_emails e JOIN cb USING (email_idx) LEFT JOIN tat USING (email_idx)),
 sc AS (SELECT *, att + CASE WHEN contains(sj, '{norm}') THEN 24 ELSE 0 END + CASE WHEN contains(bd, '{norm}') THEN 10 ELSE 0 END
   + CASE WHEN contains(fr, '{norm}') THEN 8 ELSE 0 END + CASE WHEN contains(rc, '{norm}') THEN 5 ELSE 0 END
@@ -115,11 +115,11 @@ DEAL = r"regexp_extract(recipients, '^deal(\d+)@', 1)"
 @query("prj_03", rf"""
 SELECT * EXCLUDE (rn), CAST(rn AS BIGINT) AS pos FROM (SELECT {DEAL} AS mailbox, email_idx, CASE WHEN sender = '' THEN 'Unknown' ELSE sender END AS sender,
  CASE WHEN subject = '' THEN '(No Subject)' ELSE subject END AS subject, CASE WHEN length({q.strip('body')}) > 500 THEN {q.strip('body')}[1:500] || '...' ELSE {q.strip('body')} END AS body_text,
- row_number() OVER (PARTITION BY {DEAL} ORDER BY email_idx) AS rn FROM v_emails) z WHERE rn <= 50
+ row_number() OVER (PARTITION BY {DEAL} ORDER BY email_idx) AS rn FROM v_emails) z
 """)
 def prj_03(t):
     m = mails(t).withColumn("mailbox", F.regexp_extract("recipients", r"^deal(\d+)@", 1))
-    top = hot.top_k(m, ["mailbox"], ["email_idx"], 50, "pos")
+    top = hot.numbered(m, ["mailbox"], hot.index_block(F.col("email_idx")), ["email_idx"], "pos")  # a prompt takes pos <= 50
     return top.select(
         "mailbox", "email_idx", T.first_filled(F.col("sender"), F.lit("Unknown")).alias("sender"),
         T.first_filled(F.col("subject"), F.lit("(No Subject)")).alias("subject"),
