@@ -11,6 +11,7 @@ than r is discarded (triangle inequality); the survivors are verified by their o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -92,8 +93,10 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     A key under which up to ``FEW`` rows meet gives all its pairs to the pivot test. Under a fuller key
     (a large group of near copies) rows meet at every value within half the radius of their fingerprint instead: two of them
     have such a value in common if they differ in at most ``radius`` bits, so each is linked with the smallest id there and
-    no pairs are formed. For an even radius this is exact.
+    no pairs are formed. For an even radius this is exact. The radius is 4 at most.
     """
+    if not 1 <= radius <= 4:
+        raise ValueError("a radius from 1 to 4 is supported")
     masks = block_masks(radius)
     table = cut_lineage(distance_table(prints.select("id", "fp"), masks))
     sets = list(combinations(range(len(masks)), len(masks) - radius))
@@ -109,12 +112,15 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     pairs = left.join(right, "_key").where("a < b").where(apart)
     pairs = pairs.where(F.bit_count(F.col("_fa").bitwiseXOR(F.col("_fb"))) <= radius).select("a", "b").distinct()
 
-    half = (radius + 1) // 2
-    flips = [0]
-    for n in range(1, half + 1):
-        flips += [_signed(sum(1 << i for i in c)) for c in combinations(range(64), n)]
+    def flipped(*bits: Column) -> Column:
+        return reduce(lambda x, i: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)), bits, F.col("fp"))
+
+    places = F.sequence(F.lit(0), F.lit(63))
+    around = F.concat(F.array("fp"), F.transform(places, lambda i: flipped(i)))
+    if radius > 2:  # values two bits away
+        around = F.concat(around, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(F.sequence(i + 1, F.lit(63)), lambda j: flipped(i, j)))))
     full = met.where(F.col("_n") > FEW).select("id", "fp").distinct()
-    values = full.select("id", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda x: F.col("fp").bitwiseXOR(x))).alias("_value"))
+    values = full.select("id", F.explode(around).alias("_value"))
     first = values.groupBy("_value").agg(F.min("id").alias("a"))
     stars = values.join(first, "_value").where("a < id").select("a", F.col("id").alias("b")).distinct()
     return pairs.unionByName(stars)
@@ -174,7 +180,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = cut_lineage(prints.groupBy("doc_id").agg(F.min("single").alias("single"), F.min("long").alias("long")))
     links = None
     for n in range(PRINTS):
-        found = near_links(nodes.select(F.col("doc_id").alias("id"), F.col("single")[n].alias("fp")), radius)
+        found = cut_lineage(near_links(nodes.select(F.col("doc_id").alias("id"), F.col("single")[n].alias("fp")), radius))
         links = found if links is None else links.unionByName(found)
     most = int(64 * PRINTS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     of_a = nodes.select(F.col("doc_id").alias("a"), F.col("long").alias("_la"))
