@@ -23,7 +23,7 @@ from dealweave.llm.registry import query, read
 
 SPAN = 50  # bytes of a repeated string
 GRAM = 24  # bytes of an anchor
-PART = 12 << 20  # bytes of text in a group of documents
+PART = 6 << 20  # bytes of text in a group of documents
 CONTEXTS = 1 << 20  # bytes of text that a block sorts, as a rule
 HEAVY = 4096  # groups of documents that may share an anchor before its windows are dealt out one by one
 SLICE = 1 << 21  # bytes hashed at a time
@@ -397,6 +397,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // PART))
+    sieves = max(1, parts // 8)
     blocks = max(1, total // (2 * CONTEXTS))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
     dealt = rows.withColumn("part", part).where("doc_id IS NOT NULL").select("part", "doc_id", "text").repartition(parts, "part")
@@ -407,11 +408,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = marked.where("_copy").select("part", F.col("own_id").alias("copy_id")).distinct()
 
     grouped = dealt.groupBy("part")
-    sent = grouped.cogroup(own.groupBy("part")).applyInArrow(lambda d, o: anchors_of(d, o, parts), "part int, sieve int, keys binary")
+    sent = grouped.cogroup(own.groupBy("part")).applyInArrow(lambda d, o: anchors_of(d, o, sieves), "part int, sieve int, keys binary")
     shared = sent.groupBy("sieve").applyInArrow(lambda t: shared_anchors(t, heavy), "part int, sieve int, keys binary, heavy boolean, own_id long")
     told = shared.unionByName(own, allowMissingColumns=True)
     contexts = grouped.cogroup(told.groupBy("part")).applyInArrow(
-        lambda d, o: contexts_of(d, o, parts, blocks), "block int, part int, bytes binary, windows binary, which binary, doc binary, start binary, run boolean")
+        lambda d, o: contexts_of(d, o, sieves, blocks), "block int, part int, bytes binary, windows binary, which binary, doc binary, start binary, run boolean")
     runs = contexts.groupBy("block").applyInArrow(repeats_of, "part int, doc binary, start binary, windows binary, copy_id long")
     told = runs.unionByName(copies, allowMissingColumns=True)
     kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
