@@ -36,7 +36,7 @@ SELECT o.o_orderkey AS email_idx,
       WHEN 1 THEN 'Please review and comment on the attached markup. We still need the disclosure schedules confirmed!'
       WHEN 2 THEN 'The agreement has been fully executed. Signature pages attached.'
       WHEN 3 THEN 'Agreed form, no further comments.'
-      WHEN 4 THEN 'Sent to opposing counsel for review; see Side Letter v2.docx and Funds Flow.xlsx'
+      WHEN 4 THEN 'Sent to opposing counsel for review; see Übersicht\u00a0Anlage v2.docx and Funds Flow.xlsx'
       WHEN 5 THEN 'First draft attached.'
       ELSE 'FYI only.' END,
     CASE WHEN o.o_orderkey % 3 = 0 THEN concat(chr(10), chr(10), 'On Fri, Seller Counsel wrote:', chr(10), '> older text about escrow executed copy') ELSE '' END,
@@ -190,10 +190,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a fixture view as a DataFrame."""
     prepare(spark)
     if name in BASE_TABLES:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        # A one-file table is one split. The bench asks for more; by default nothing is moved.
-        spread = spark.conf.get("spark.dealweave.scanPartitions", None)
-        return df.repartition(int(spread)) if spread else df
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spark_sql(spark, sf_dir, VIEWS[name])
 
 

@@ -25,12 +25,13 @@ def any_rlike(text: Column, patterns) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space of any alphabet at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def squash(c: Column) -> Column:
     """Null-safe whitespace collapse and trim."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
 def null_if_blank(c: Column) -> Column:
@@ -173,7 +174,7 @@ def thread_subject(c: Column) -> Column:
 
 
 def file_names_in(c: Column) -> Column:
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(lx.FILENAME_PATTERN), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?U)" + lx.FILENAME_PATTERN), F.lit(0))
     return F.filter(F.transform(found, strip), lambda x: F.length(x) > 4)
 
 

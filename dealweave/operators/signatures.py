@@ -26,10 +26,11 @@ def index_order():
     return ["signer_name", "doc_id", "page_num"]
 
 
-def verification(index: DataFrame) -> DataFrame:
-    """Counts that decide whether a set of packets needs a human look. Works on an empty index."""
+def verification(index: DataFrame, keys=()) -> DataFrame:
+    """Counts that decide whether a set of packets needs a human look, per ``keys`` (such as the deal). Without keys
+    it is one row, also for an empty index."""
     un = F.col("signer_name") == lx.UNASSIGNED
-    agg = index.agg(
+    agg = index.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("review_required").alias("review_required_count"),
         F.count_if(un).alias("unassigned_count"), F.countDistinct(F.when(un, F.col("doc_id"))).alias("documents_to_review"))
     bad = (F.col("rows") == 0) | (F.col("review_required_count") > 0) | (F.col("unassigned_count") > 0)
@@ -37,28 +38,28 @@ def verification(index: DataFrame) -> DataFrame:
 
 
 def packet_checks(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Units a packet should have against units found; both inputs are (packet, units)."""
+    """Units a packet should have against units found; both inputs are (deal_id, packet, units)."""
     j = expected.withColumnRenamed("units", "expected_units").join(
-        actual.withColumnRenamed("units", "actual_units"), "packet", "left")
+        actual.withColumnRenamed("units", "actual_units"), ["deal_id", "packet"], "left")
     return j.withColumn("status", F.when(F.col("actual_units").isNull(), "missing").when(
         F.col("actual_units") == F.col("expected_units"), "verified").otherwise("count_mismatch"))
 
 
 def packet_shell(pages: DataFrame) -> DataFrame:
-    """Signature pages with distinct content (first seen by document and page), one row per signer.
+    """Signature pages with distinct content in their deal (first seen by document and page), one row per signer.
 
     The first page of each content hash is an aggregate, so a text repeated a billion times is
     reduced before the shuffle."""
     p = SG.with_signature_analysis(pages).where("is_signature_page").withColumn("content_hash", T.page_hash(F.col("page_text")))
-    first = p.groupBy("content_hash").agg(F.min_by(F.struct("doc_id", "page_num", "signers"), F.struct("doc_id", "page_num")).alias("p"))
-    return first.select("content_hash", "p.*").select("content_hash", "doc_id", "page_num", F.explode("signers").alias("signer_name"))
+    first = p.groupBy("deal_id", "content_hash").agg(F.min_by(F.struct("doc_id", "page_num", "signers"), F.struct("doc_id", "page_num")).alias("p"))
+    return first.select("deal_id", "content_hash", "p.*").select("deal_id", "content_hash", "doc_id", "page_num", F.explode("signers").alias("signer_name"))
 
 
 def first_pages(pages: DataFrame) -> DataFrame:
-    """First content occurrence of every page text."""
+    """First content occurrence of every page text of a deal."""
     p = pages.withColumn("content_hash", T.page_hash(F.col("page_text")))
-    return p.groupBy("content_hash").agg(F.min(F.struct("doc_id", "page_num")).alias("at"), F.count(F.lit(1)).alias("copies")).select(
-        "content_hash", "at.*", "copies")
+    return p.groupBy("deal_id", "content_hash").agg(F.min(F.struct("doc_id", "page_num")).alias("at"), F.count(F.lit(1)).alias("copies")).select(
+        "deal_id", "content_hash", "at.*", "copies")
 
 
 def annex_warnings(pages: DataFrame, threshold: int = lx.LONG_ANNEX_PAGES) -> DataFrame:

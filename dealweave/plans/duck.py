@@ -6,6 +6,9 @@ from __future__ import annotations
 from dealweave import lexicon as lx
 
 
+SPACE = r"[\s\x{0B}\x{85}\p{Z}]"  # white space of any alphabet
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -19,11 +22,11 @@ def alt(patterns) -> str:
 
 
 def squash(x: str) -> str:
-    return rf"trim(regexp_replace(coalesce({x}, ''), '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace(coalesce({x}, ''), '{SPACE}+', ' ', 'g'))"
 
 
 def strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return rf"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
 def norm(x: str) -> str:

@@ -149,7 +149,7 @@ def str_02(t):
     return t.v_emails.select("email_idx", T.domain_of(F.col("sender")).alias("domain"), T.domain_of(F.col("recipients")).alias("to_domain"))
 
 
-FILES = lambda c: f"list_filter(list_transform(regexp_extract_all({c}, {q.lit(lx.FILENAME_PATTERN)}), lambda x: {q.strip('x')}), lambda x: length(x) > 4)"
+FILES = lambda c: f"list_filter(list_transform(regexp_extract_all({c}, {q.lit(lx.FILENAME_PATTERN.replace(chr(92) + "w", "_" + chr(92) + "p{L}" + chr(92) + "p{M}" + chr(92) + "p{N}").replace(chr(92) + "s]", chr(92) + "s" + chr(92) + "p{Z}]"))}), lambda x: {q.strip('x')}), lambda x: length(x) > 4)"
 
 
 @query("str_03", f"SELECT email_idx, array_to_string({FILES('body')}, '|') AS files FROM v_emails")

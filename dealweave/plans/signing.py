@@ -92,30 +92,32 @@ def top_08(t):
     return S.signature_index(t.v_pages).orderBy(*S.index_order()).select("signer_name", "doc_id", "page_num")
 
 
-@query("agg_13", f"WITH {SIG} SELECT signer_name, count(*) AS pages FROM ix GROUP BY 1")
+@query("agg_13", f"WITH {SIG} SELECT deal_id, signer_name, count(*) AS pages FROM ix GROUP BY 1, 2")
 def agg_13(t):
-    return S.signature_index(t.v_pages).groupBy("signer_name").agg(F.count(F.lit(1)).alias("pages"))
+    return S.signature_index(t.v_pages).groupBy("deal_id", "signer_name").agg(F.count(F.lit(1)).alias("pages"))
 
 
-@query("agg_14", f"WITH {SIG} SELECT *, CASE WHEN \"rows\" = 0 OR review_required_count > 0 OR unassigned_count > 0 THEN 'review_required' ELSE 'passed' END AS status FROM (SELECT count(*) AS \"rows\", count(*) FILTER (WHERE review_required) AS review_required_count, count(*) FILTER (WHERE signer_name = '{lx.UNASSIGNED}') AS unassigned_count, count(DISTINCT CASE WHEN signer_name = '{lx.UNASSIGNED}' THEN doc_id END) AS documents_to_review FROM ix) z")
+@query("agg_14", f"WITH {SIG} SELECT *, CASE WHEN \"rows\" = 0 OR review_required_count > 0 OR unassigned_count > 0 THEN 'review_required' ELSE 'passed' END AS status FROM (SELECT deal_id, count(*) AS \"rows\", count(*) FILTER (WHERE review_required) AS review_required_count, count(*) FILTER (WHERE signer_name = '{lx.UNASSIGNED}') AS unassigned_count, count(DISTINCT CASE WHEN signer_name = '{lx.UNASSIGNED}' THEN doc_id END) AS documents_to_review FROM ix GROUP BY deal_id) z")
 def agg_14(t):
-    return S.verification(S.signature_index(t.v_pages))
+    return S.verification(S.signature_index(t.v_pages), ["deal_id"])
 
 
-@query("jon_15", f"WITH {SIG}, e AS (SELECT signer_name AS packet, count(*) AS u FROM ix GROUP BY 1), a AS (SELECT signer_name AS packet, count(DISTINCT page_text) AS u FROM ix WHERE signer_name NOT LIKE '%7%' GROUP BY 1) SELECT e.packet, e.u AS expected_units, a.u AS actual_units, CASE WHEN a.u IS NULL THEN 'missing' WHEN a.u = e.u THEN 'verified' ELSE 'count_mismatch' END AS status FROM e LEFT JOIN a USING (packet)")
+@query("jon_15", f"WITH {SIG}, e AS (SELECT deal_id, signer_name AS packet, count(*) AS u FROM ix GROUP BY 1, 2), a AS (SELECT o.deal_id, signer_name AS packet, count(DISTINCT ix.page_text) AS u FROM ix JOIN (SELECT deal_id, signed_doc_id - 10000000 AS doc_id, page_num FROM v_signed_pages) o ON ix.deal_id = o.deal_id AND ix.doc_id = o.doc_id AND ix.page_num = o.page_num GROUP BY 1, 2) SELECT e.deal_id, e.packet, e.u AS expected_units, a.u AS actual_units, CASE WHEN a.u IS NULL THEN 'missing' WHEN a.u = e.u THEN 'verified' ELSE 'count_mismatch' END AS status FROM e LEFT JOIN a USING (deal_id, packet)")
 def jon_15(t):
-    ix = S.signature_index(t.v_pages).join(t.v_pages.select("doc_id", "page_num", "page_text"), ["doc_id", "page_num"])
-    want = ix.groupBy(F.col("signer_name").alias("packet")).agg(F.count(F.lit(1)).alias("units"))
-    have = ix.where("signer_name NOT LIKE '%7%'").groupBy(F.col("signer_name").alias("packet")).agg(F.countDistinct("page_text").alias("units"))
+    key = ["deal_id", "doc_id", "page_num"]
+    ix = S.signature_index(t.v_pages).join(t.v_pages.select(*key, "page_text"), key)
+    units = lambda df, n: df.groupBy("deal_id", F.col("signer_name").alias("packet")).agg(n.alias("units"))
+    back = t.v_signed_pages.select("deal_id", (F.col("signed_doc_id") - 10_000_000).alias("doc_id"), "page_num")  # packets that came back
+    want, have = units(ix, F.count(F.lit(1))), units(ix.join(back, key), F.countDistinct("page_text"))
     return S.packet_checks(want, have)
 
 
-@query("win_04", f"SELECT md5(trim(regexp_replace(lower(page_text), '\\s+', ' ', 'g'))) AS content_hash, (min((doc_id, page_num)))[1] AS doc_id, CAST((min((doc_id, page_num)))[2] AS INT) AS page_num, count(*) AS copies FROM v_pages GROUP BY 1")
+@query("win_04", f"SELECT deal_id, md5(trim(regexp_replace(lower(page_text), '\\s+', ' ', 'g'))) AS content_hash, (min((doc_id, page_num)))[1] AS doc_id, CAST((min((doc_id, page_num)))[2] AS INT) AS page_num, count(*) AS copies FROM v_pages GROUP BY 1, 2")
 def win_04(t):
     return S.first_pages(t.v_pages)
 
 
-@query("pip_07", f"WITH {SIG}, f AS (SELECT md5(trim(regexp_replace(lower(page_text), '\\s+', ' ', 'g'))) AS content_hash, arg_min(signers, (doc_id, page_num)) AS s, min((doc_id, page_num)) AS at_ FROM v_pages JOIN ana ON page_text = x WHERE is_page GROUP BY 1) SELECT content_hash, at_[1] AS doc_id, CAST(at_[2] AS INT) AS page_num, unnest(string_split(s, '|')) AS signer_name FROM f WHERE s <> ''")
+@query("pip_07", f"WITH {SIG}, f AS (SELECT deal_id, md5(trim(regexp_replace(lower(page_text), '\\s+', ' ', 'g'))) AS content_hash, arg_min(signers, (doc_id, page_num)) AS s, min((doc_id, page_num)) AS at_ FROM v_pages JOIN ana ON page_text = x WHERE is_page GROUP BY 1, 2) SELECT deal_id, content_hash, at_[1] AS doc_id, CAST(at_[2] AS INT) AS page_num, unnest(string_split(s, '|')) AS signer_name FROM f WHERE s <> ''")
 def pip_07(t):
     return S.packet_shell(t.v_pages)
 

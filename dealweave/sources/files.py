@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import csv
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,7 +95,7 @@ def list_documents(spark: SparkSession, root: str, skip: str = "_output") -> Dat
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{[pP][dD][fF],[dD][oO][cC][xX]}").load(root)
     )
-    rel = F.regexp_replace("path", rf"^.*?{root.rstrip('/')}/", "")
+    rel = F.regexp_replace("path", rf"^.*?{re.escape(root.rstrip('/'))}/", "")
     return files.select("path", rel.alias("name"), "length").where(~F.contains("name", F.lit(skip)))
 
 
@@ -103,9 +105,15 @@ def write_index(index: DataFrame, path: str) -> None:
     index.orderBy("signer_name", "doc_id", "page_num").write.mode("overwrite").parquet(path)
 
 
-def write_packets(index: DataFrame, path: str) -> None:
-    """One folder per signer. Rows are spread by signer and document so that one signer with a
+def write_packets(index: DataFrame, path: str, buckets: int | None = None) -> None:
+    """One folder per signer, or ``buckets`` folders with whole signers sorted inside where there are too many
+    signers for folders. Rows are spread by signer and document so that one signer with a
     third of all pages is written by many tasks, in several files."""
+    if buckets:
+        index = index.withColumn("packet_bucket", F.pmod(F.xxhash64("signer_name"), F.lit(buckets)).cast("int"))
+        spread = index.repartition("packet_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+        spread.sortWithinPartitions("packet_bucket", "signer_name", "doc_id", "page_num").write.mode("overwrite").partitionBy("packet_bucket").parquet(path)
+        return
     spread = index.repartition("signer_name", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
     spread.sortWithinPartitions("signer_name", "doc_id", "page_num").write.mode("overwrite").partitionBy("signer_name").parquet(path)
 

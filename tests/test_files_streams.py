@@ -66,6 +66,9 @@ def test_sinks(spark, tmp_path):
     files.write_packets(ix, str(tmp_path / "pk"))
     assert spark.read.parquet(str(tmp_path / "ix")).count() == 3
     assert spark.read.parquet(str(tmp_path / "pk/signer_name=JANE")).count() == 2
+    files.write_packets(ix, str(tmp_path / "bk"), buckets=2)
+    packed = spark.read.parquet(str(tmp_path / "bk"))
+    assert packed.count() == 3 and packed.groupBy("signer_name").agg(F.countDistinct("packet_bucket").alias("n")).where("n > 1").isEmpty()
     rep = spark.createDataFrame([("matched_schedules", 1, 2)], "section string, deal_id long, doc_id long")
     files.write_report(rep, str(tmp_path / "rp"))
     assert spark.read.json(str(tmp_path / "rp")).first().section == "matched_schedules"
