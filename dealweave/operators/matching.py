@@ -56,11 +56,16 @@ def mail_features(mail: DataFrame) -> DataFrame:
     }))
 
 
+def profile_id() -> Column:
+    """128-bit digest: profiles are joined by it, so two texts must never share one."""
+    return F.md5(F.concat_ws("\u0001", "match_document_name", "row_context"))
+
+
 def row_profiles(items: DataFrame) -> DataFrame:
     """Distinct (deal, matched name, context) with tokens; ``pid`` is a content hash."""
     return cut_lineage(items.select("deal_id", "match_document_name", "row_context").distinct().select(
         "deal_id", "match_document_name", "row_context",
-        F.xxhash64("match_document_name", "row_context").alias("pid"),
+        profile_id().alias("pid"),
         T.lookup_form(F.col("match_document_name")).alias("doc_lookup"),
         T.document_tokens(F.col("match_document_name")).alias("doc_tokens"),
         F.slice(T.search_tokens(F.col("row_context")), 1, 8).alias("context_tokens"),
@@ -175,8 +180,7 @@ def top_mails(pairs: DataFrame) -> DataFrame:
 
 def to_rows(per_profile: DataFrame, items: DataFrame) -> DataFrame:
     """Back from profiles to checklist rows."""
-    pid = F.xxhash64("match_document_name", "row_context").alias("pid")
-    return items.select("deal_id", "row_id", pid).join(per_profile, ["deal_id", "pid"])
+    return items.select("deal_id", "row_id", profile_id().alias("pid")).join(per_profile, ["deal_id", "pid"])
 
 
 # ---------------------------------------------------------------- threads
