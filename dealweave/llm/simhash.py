@@ -86,22 +86,26 @@ def distance_table(prints: DataFrame, masks: list[int]) -> DataFrame:
     return prints.withColumns({"_blocks": F.array(*[row(m) for m in masks]), "_coords": F.array(*[to(p).cast("byte") for p in pivots()])})
 
 
-def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """``a, b`` (a < b): links between rows of ``id, fp`` (ids distinct). Together they connect all chains of rows in which
+def near_links(prints: DataFrame, radius: int = 2, signs: DataFrame | None = None, near=None) -> DataFrame:
+    """``a, b`` (a < b): links between rows of ``id, fp`` (ids distinct, or distinct in each value of a column ``series``,
+    whose values don't meet each other). Together they connect all chains of rows in which
     neighbours differ in at most ``radius`` bits; no link is longer than twice half the radius, rounded up.
 
     A key under which up to ``FEW`` rows meet gives all its pairs to the pivot test. Under a fuller key
     (a large group of near copies) rows meet at every value within half the radius of their fingerprint instead: two of them
     have such a value in common if they differ in at most ``radius`` bits, so each is linked with the smallest id there and
     no pairs are formed. For an even radius this is exact. The radius is 4 at most.
+
+    With ``signs`` (id, sign) a link must also pass ``near`` of the two signs, a condition on columns; it is tested where links arise.
     """
     if not 1 <= radius <= 4:
         raise ValueError("a radius from 1 to 4 is supported")
     masks = block_masks(radius)
-    table = cut_lineage(distance_table(prints.select("id", "fp"), masks))
+    series = F.col("series") if "series" in prints.columns else F.lit(0)
+    table = cut_lineage(distance_table(prints.select("id", "fp", series.alias("series")), masks))
     sets = list(combinations(range(len(masks)), len(masks) - radius))
-    keys = F.array(*[F.xxhash64(F.lit(n), *[F.col("_blocks")[i] for i in s]) for n, s in enumerate(sets)])
-    keyed = table.select("id", "fp", "_coords", F.explode(keys).alias("_key"))
+    keys = F.array(*[F.xxhash64(F.lit(n), "series", *[F.col("_blocks")[i] for i in s]) for n, s in enumerate(sets)])
+    keyed = table.select("id", "fp", "series", "_coords", F.explode(keys).alias("_key"))
     load = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     met = keyed.join(load, "_key")
 
@@ -111,6 +115,8 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     apart = F.forall(F.zip_with("_ca", "_cb", lambda x, y: F.abs(x - y)), lambda d: d <= radius)
     pairs = left.join(right, "_key").where("a < b").where(apart)
     pairs = pairs.where(F.bit_count(F.col("_fa").bitwiseXOR(F.col("_fb"))) <= radius).select("a", "b").distinct()
+    if signs is not None:
+        pairs = pairs.join(signs.toDF("a", "_sa"), "a").join(signs.toDF("b", "_sb"), "b").where(near(F.col("_sa"), F.col("_sb"))).select("a", "b")
 
     def flipped(*bits: Column) -> Column:
         return reduce(lambda x, i: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)), bits, F.col("fp"))
@@ -119,11 +125,15 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     around = F.concat(F.array("fp"), F.transform(places, lambda i: flipped(i)))
     if radius > 2:  # values two bits away
         around = F.concat(around, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(F.sequence(i + 1, F.lit(63)), lambda j: flipped(i, j)))))
-    full = met.where(F.col("_n") > FEW).select("id", "fp").distinct()
-    values = full.select("id", F.explode(around).alias("_value"))
-    first = values.groupBy("_value").agg(F.min("id").alias("a"))
-    stars = values.join(first, "_value").where("a < id").select("a", F.col("id").alias("b")).distinct()
-    return pairs.unionByName(stars)
+    full = met.where(F.col("_n") > FEW).select("id", "fp", "series").distinct()
+    full = full.join(signs, "id") if signs is not None else full.withColumn("sign", F.lit(None).cast("int"))
+    values = full.select("id", "sign", "series", F.explode(around).alias("_value"))
+    first = values.groupBy("series", "_value").agg(F.min(F.struct("id", "sign")).alias("_first"))
+    stars = values.join(first, ["series", "_value"]).where("_first.id < id")
+    if signs is not None:
+        stars = stars.where(near(F.col("_first.sign"), F.col("sign")))
+    stars = stars.select(F.col("_first.id").alias("a"), F.col("id").alias("b")).distinct()
+    return pairs.unionByName(stars).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
@@ -178,16 +188,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     prints = chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, single array<long>, long array<long>")
     nodes = cut_lineage(prints.groupBy("doc_id").agg(F.min("single").alias("single"), F.min("long").alias("long")))
-    links = None
-    for n in range(PRINTS):
-        found = cut_lineage(near_links(nodes.select(F.col("doc_id").alias("id"), F.col("single")[n].alias("fp")), radius))
-        links = found if links is None else links.unionByName(found)
     most = int(64 * PRINTS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    of_a = nodes.select(F.col("doc_id").alias("a"), F.col("long").alias("_la"))
-    of_b = nodes.select(F.col("doc_id").alias("b"), F.col("long").alias("_lb"))
-    differ = F.aggregate(F.zip_with("_la", "_lb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, d: t + d)
-    near = links.distinct().join(of_a, "a").join(of_b, "b").where(differ <= most).select("a", "b")
-    return connected(near).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+    def near(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, d: t + d) <= most
+
+    signs = nodes.select(F.col("doc_id").alias("id"), F.col("long").alias("sign"))
+    links = near_links(nodes.select(F.col("doc_id").alias("id"), F.posexplode("single").alias("series", "fp")), radius, signs, near)
+    return connected(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
 @query("op1_simhash")
