@@ -16,7 +16,7 @@ from dealweave.llm.registry import query, read
 from dealweave.session import cut_lineage
 
 SPACES = r"[\x20\x09-\x0D]+"
-BITMAP_BITS = 32_768  # bits of one row of bitmap_construct_agg
+SALTS = 16
 
 
 def normal(text: Column) -> Column:
@@ -67,7 +67,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone = hashed.where("_full IS NULL").select(
         F.col("_id").alias("doc_id"), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *carry)
     groups = hashed.where("_full IS NOT NULL").groupBy("_n", "_full").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    grouped = hashed.where("_full IS NOT NULL").join(groups, ["_n", "_full"]).select(
+    # the rows of a large group meet their group in SALTS places
+    groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = hashed.where("_full IS NOT NULL").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    grouped = salted.join(groups, ["_n", "_full", "_salt"]).select(
         F.col("_id").alias("doc_id"), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), *carry)
     return alone.unionByName(grouped)
 
