@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealweave.llm.registry import query, read
+from dealweave.llm.sampling import stratified
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
@@ -126,7 +127,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     None if there are none. Which rows are taken is a hash of the id; only their n-gram shares reach the driver."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(~held_out() & F.col("lang").isNotNull() & has_letter(F.col("text")))
-    ids = rows.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("_n")).where(F.col("_n") <= sample)
+    ids = stratified(rows.select("doc_id", "lang"), "lang", "doc_id", sample)
     picked = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")  # at most sample ids a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

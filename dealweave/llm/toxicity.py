@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealweave.llm.language import held_out
 from dealweave.llm.registry import query, read
+from dealweave.llm.sampling import stratified
 
 SAMPLE = 1500  # labelled documents of each class that the model may learn from
 SIGMAS = 5.0  # a word gets a weight if its labels differ from all labels by so many standard deviations
@@ -114,8 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("doc_id").isNotNull() & F.col("_y").isNotNull() & ~held_out())
     marks = marks.groupBy("doc_id").agg(F.max("_y").alias("_y"))
     share = {r["_y"]: r["n"] for r in marks.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
-    order = Window.partitionBy("_y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = marks.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).drop("_n")
+    picked = stratified(marks, "_y", "doc_id", sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(picked), "doc_id").toArrow().to_pylist()  # at most sample rows a class
     rows = sorted({(str(r["doc_id"]), r["text"], r["_y"]) for r in rows})
