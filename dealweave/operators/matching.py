@@ -174,6 +174,27 @@ def mail_pairs(profiles: DataFrame, features: DataFrame) -> DataFrame:
     return scored_pairs(both, profiles, features).where(F.col("score") >= ROW_MAIL_SCORE)
 
 
+def candidate_counts(profiles: DataFrame, features: DataFrame) -> DataFrame:
+    """(deal_id, pid, for_row, for_thread, best): how many mails of the deal score at least the row and the thread
+    threshold, and the best score.
+
+    A mail whose file names are all noise scores with every named row, whatever its words. Such mails are counted once
+    per deal; from that a row takes off those it already meets through a word."""
+    noisy = F.col("noise_titles") > 0
+    met = scored_pairs(word_candidates(profiles, features), profiles, features).join(
+        features.select("deal_id", "email_idx", "noise_titles"), ["deal_id", "email_idx"])
+    by_word = met.groupBy("deal_id", "pid").agg(
+        F.count_if(F.col("score") >= ROW_MAIL_SCORE).alias("wr"), F.count_if(F.col("score") >= THREAD_MAIL_SCORE).alias("wt"),
+        F.max("score").alias("wb"), F.count_if(noisy).alias("met_noise"))
+    noise = features.where(noisy).groupBy("deal_id").agg(F.count(F.lit(1)).alias("noise"), F.max(F.round(noise_only_score(), 4)).alias("nb"))
+    j = profiles.select("deal_id", "pid", "doc_lookup").join(by_word, ["deal_id", "pid"], "left").join(noise, "deal_id", "left")
+    zero = F.lit(0)
+    more = F.when(F.col("doc_lookup") != "", F.coalesce("noise", zero) - F.coalesce("met_noise", zero)).otherwise(zero)
+    out = j.select("deal_id", "pid", (F.coalesce("wr", zero) + more).alias("for_row"), (F.coalesce("wt", zero) + more).alias("for_thread"),
+                   F.greatest(F.when(F.col("wt") > 0, F.col("wb")), F.when(F.col("doc_lookup") != "", F.col("nb"))).alias("best"))
+    return out.where("for_thread > 0")
+
+
 def top_mails(pairs: DataFrame) -> DataFrame:
     return hot.top_k(pairs, ["deal_id", "pid"], [F.desc("score"), F.asc("email_idx")], TOP_MAILS)
 

@@ -311,7 +311,7 @@ def sco_02(t):
 @query("jon_04", f"WITH {SCORES} SELECT it.deal_id, it.row_id, count(*) AS candidates, max(score) AS best FROM it JOIN ps USING (deal_id, match_document_name, row_context) WHERE score >= 1.2 GROUP BY 1, 2")
 def jon_04(t):
     its, pr, fe = sides(t)
-    per = MT.mail_pairs(pr, fe).groupBy("deal_id", "pid").agg(F.count(F.lit(1)).alias("candidates"), F.max("score").alias("best"))
+    per = MT.candidate_counts(pr, fe).where("for_row > 0").withColumnRenamed("for_row", "candidates")
     return MT.to_rows(per, its).select("deal_id", "row_id", "candidates", "best")
 
 
@@ -480,6 +480,5 @@ def flt_09(t):
 @query("flt_10", f"WITH {SCORES} SELECT deal_id, match_document_name, row_context, count(*) FILTER (WHERE score >= 1.2) AS for_row, count(*) FILTER (WHERE score >= 0.9) AS for_thread FROM ps WHERE score >= 0.9 GROUP BY 1, 2, 3")
 def flt_10(t):
     _, pr, fe = sides(t)
-    s = MT.scored_pairs(MT.word_candidates(pr, fe), pr, fe).where(F.col("score") >= MT.THREAD_MAIL_SCORE)
-    g = s.groupBy("deal_id", "pid").agg(F.count_if(F.col("score") >= MT.ROW_MAIL_SCORE).alias("for_row"), F.count(F.lit(1)).alias("for_thread"))
+    g = MT.candidate_counts(pr, fe).drop("best")
     return g.join(pr.select("deal_id", "pid", "match_document_name", "row_context"), ["deal_id", "pid"]).drop("pid")
