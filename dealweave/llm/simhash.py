@@ -87,8 +87,7 @@ def distance_table(prints: DataFrame, masks: list[int]) -> DataFrame:
 
 
 def near_links(prints: DataFrame, radius: int = 2, signs: DataFrame | None = None, near=None) -> DataFrame:
-    """``a, b`` (a < b): links between rows of ``id, fp`` (ids distinct, or distinct in each value of a column ``series``,
-    whose values don't meet each other). Together they connect all chains of rows in which
+    """``a, b`` (a < b): links between rows of ``id, fp`` (ids distinct). Together they connect all chains of rows in which
     neighbours differ in at most ``radius`` bits; no link is longer than twice half the radius, rounded up.
 
     A key under which up to ``FEW`` rows meet gives all its pairs to the pivot test. Under a fuller key
@@ -101,11 +100,10 @@ def near_links(prints: DataFrame, radius: int = 2, signs: DataFrame | None = Non
     if not 1 <= radius <= 4:
         raise ValueError("a radius from 1 to 4 is supported")
     masks = block_masks(radius)
-    series = F.col("series") if "series" in prints.columns else F.lit(0)
-    table = cut_lineage(distance_table(prints.select("id", "fp", series.alias("series")), masks))
+    table = cut_lineage(distance_table(prints.select("id", "fp"), masks))
     sets = list(combinations(range(len(masks)), len(masks) - radius))
-    keys = F.array(*[F.xxhash64(F.lit(n), "series", *[F.col("_blocks")[i] for i in s]) for n, s in enumerate(sets)])
-    keyed = table.select("id", "fp", "series", "_coords", F.explode(keys).alias("_key"))
+    keys = F.array(*[F.xxhash64(F.lit(n), *[F.col("_blocks")[i] for i in s]) for n, s in enumerate(sets)])
+    keyed = table.select("id", "fp", "_coords", F.explode(keys).alias("_key"))
     load = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     met = keyed.join(load, "_key")
 
@@ -125,11 +123,12 @@ def near_links(prints: DataFrame, radius: int = 2, signs: DataFrame | None = Non
     around = F.concat(F.array("fp"), F.transform(places, lambda i: flipped(i)))
     if radius > 2:  # values two bits away
         around = F.concat(around, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(F.sequence(i + 1, F.lit(63)), lambda j: flipped(i, j)))))
-    full = met.where(F.col("_n") > FEW).select("id", "fp", "series").distinct()
+    full = met.where(F.col("_n") > FEW).select("id", "fp").distinct()
     full = full.join(signs, "id") if signs is not None else full.withColumn("sign", F.lit(None).cast("int"))
-    values = full.select("id", "sign", "series", F.explode(around).alias("_value"))
-    first = values.groupBy("series", "_value").agg(F.min(F.struct("id", "sign")).alias("_first"))
-    stars = values.join(first, ["series", "_value"]).where("_first.id < id")
+    full = full.repartition("id", "fp")  # dealt evenly before each becomes many values
+    values = full.select("id", "sign", F.explode(around).alias("_value"))
+    first = values.groupBy("_value").agg(F.min(F.struct("id", "sign")).alias("_first"))
+    stars = values.join(first, "_value").where("_first.id < id")
     if signs is not None:
         stars = stars.where(near(F.col("_first.sign"), F.col("sign")))
     stars = stars.select(F.col("_first.id").alias("a"), F.col("id").alias("b")).distinct()
@@ -194,7 +193,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, d: t + d) <= most
 
     signs = nodes.select(F.col("doc_id").alias("id"), F.col("long").alias("sign"))
-    links = near_links(nodes.select(F.col("doc_id").alias("id"), F.posexplode("single").alias("series", "fp")), radius, signs, near)
+    links = None
+    for n in range(PRINTS):  # one after the other, so that shuffle files of one can go before the next
+        found = cut_lineage(near_links(nodes.select(F.col("doc_id").alias("id"), F.col("single")[n].alias("fp")), radius, signs, near))
+        links = found if links is None else links.unionByName(found)
     return connected(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
