@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from dealweave.llm.components import connected
 from dealweave.llm.registry import query, read
+from dealweave.llm.similar import similar_groups  # noqa: F401
 from dealweave.session import cut_lineage
 
 SEED = 42
@@ -86,7 +87,7 @@ def distance_table(prints: DataFrame, masks: list[int]) -> DataFrame:
     return prints.withColumns({"_blocks": F.array(*[row(m) for m in masks]), "_coords": F.array(*[to(p).cast("byte") for p in pivots()])})
 
 
-def near_links(prints: DataFrame, radius: int = 2, signs: DataFrame | None = None, near=None) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """``a, b`` (a < b): links between rows of ``id, fp`` (ids distinct). Together they connect all chains of rows in which
     neighbours differ in at most ``radius`` bits; no link is longer than twice half the radius, rounded up.
 
@@ -94,8 +95,6 @@ def near_links(prints: DataFrame, radius: int = 2, signs: DataFrame | None = Non
     (a large group of near copies) rows meet at every value within half the radius of their fingerprint instead: two of them
     have such a value in common if they differ in at most ``radius`` bits, so each is linked with the smallest id there and
     no pairs are formed. For an even radius this is exact. The radius is 4 at most.
-
-    With ``signs`` (id, sign) a link must also pass ``near`` of the two signs, a condition on columns; it is tested where links arise.
     """
     if not 1 <= radius <= 4:
         raise ValueError("a radius from 1 to 4 is supported")
@@ -113,8 +112,6 @@ def near_links(prints: DataFrame, radius: int = 2, signs: DataFrame | None = Non
     apart = F.forall(F.zip_with("_ca", "_cb", lambda x, y: F.abs(x - y)), lambda d: d <= radius)
     pairs = left.join(right, "_key").where("a < b").where(apart)
     pairs = pairs.where(F.bit_count(F.col("_fa").bitwiseXOR(F.col("_fb"))) <= radius).select("a", "b").distinct()
-    if signs is not None:
-        pairs = pairs.join(signs.toDF("a", "_sa"), "a").join(signs.toDF("b", "_sb"), "b").where(near(F.col("_sa"), F.col("_sb"))).select("a", "b")
 
     def flipped(*bits: Column) -> Column:
         return reduce(lambda x, i: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)), bits, F.col("fp"))
@@ -124,14 +121,10 @@ def near_links(prints: DataFrame, radius: int = 2, signs: DataFrame | None = Non
     if radius > 2:  # values two bits away
         around = F.concat(around, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(F.sequence(i + 1, F.lit(63)), lambda j: flipped(i, j)))))
     full = met.where(F.col("_n") > FEW).select("id", "fp").distinct()
-    full = full.join(signs, "id") if signs is not None else full.withColumn("sign", F.lit(None).cast("int"))
     full = full.repartition("id", "fp")  # dealt evenly before each becomes many values
-    values = full.select("id", "sign", F.explode(around).alias("_value"))
-    first = values.groupBy("_value").agg(F.min(F.struct("id", "sign")).alias("_first"))
-    stars = values.join(first, "_value").where("_first.id < id")
-    if signs is not None:
-        stars = stars.where(near(F.col("_first.sign"), F.col("sign")))
-    stars = stars.select(F.col("_first.id").alias("a"), F.col("id").alias("b")).distinct()
+    values = full.select("id", F.explode(around).alias("_value"))
+    first = values.groupBy("_value").agg(F.min("id").alias("_first"))
+    stars = values.join(first, "_value").where("_first < id").select(F.col("_first").alias("a"), F.col("id").alias("b")).distinct()
     return pairs.unionByName(stars).distinct()
 
 
@@ -151,55 +144,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-PRINTS = 4  # independent fingerprints of a text
-
-
-def _majorities(items: list[bytes]) -> list[int]:
-    """``PRINTS`` fingerprints of a set of features, as signed longs; two from each 128-bit hash."""
-    out = []
-    for seed in range(PRINTS // 2):
-        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, items, repeat(seed))), dtype=np.uint64).reshape(-1, 2)
-        for hashes in (np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])):
-            spread = hashes.view(np.uint8).reshape(-1, 8) + PLACES
-            ones = (np.bincount(spread.ravel(), minlength=2048).reshape(8, 256) @ BITS).ravel()
-            out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0]))
-    return out
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
-    """``doc_id, component_id`` of every document that has a near copy; ids must not be null.
-
-    A pair is a near copy if the shingles of ``words`` words have a Jaccard similarity of ``similarity`` or more, as
-    ``64 * PRINTS`` fingerprint bits estimate it (a share of arccos(2s / (1 + s)) / pi differs; standard error about 0.03 near 0.8).
-    As that many differing bits have no index, candidates come from fingerprints over distinct single words, which an edit hardly moves:
-    pairs within ``radius`` bits in one of ``PRINTS`` of them, found through pivot tables. On the test tables that finds 9 of 10
-    pairs at 0.8 and all at 0.9 and above. Texts without words are no copies of each other.
-    """
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cuts = [t.as_py().encode().lower().split() for t in batch.column(1)]
-            keep = [i for i, c in enumerate(cuts) if c]
-            single = [_majorities(list(set(cuts[i]))) for i in keep]
-            long = [_majorities(list(set(map(b" ".join, zip(*[cuts[i][k:] for k in range(words)])))) or [b" ".join(cuts[i])]) for i in keep]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(single, pa.list_(pa.int64())), pa.array(long, pa.list_(pa.int64()))], names=["doc_id", "single", "long"])
-
-    prints = chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, single array<long>, long array<long>")
-    nodes = cut_lineage(prints.groupBy("doc_id").agg(F.min("single").alias("single"), F.min("long").alias("long")))
-    most = int(64 * PRINTS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-    def near(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, d: t + d) <= most
-
-    signs = nodes.select(F.col("doc_id").alias("id"), F.col("long").alias("sign"))
-    links = None
-    for n in range(PRINTS):  # one after the other, so that shuffle files of one can go before the next
-        found = cut_lineage(near_links(nodes.select(F.col("doc_id").alias("id"), F.col("single")[n].alias("fp")), radius, signs, near))
-        links = found if links is None else links.unionByName(found)
-    return connected(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-
-
 @query("op1_simhash")
 def op1(spark, sf_dir):
     return near_groups(read(spark, sf_dir, "documents")).select(
