@@ -10,6 +10,8 @@ an island migrates to the next island. An island stops at a proven lower bound.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,14 +39,18 @@ WELL_FILLED = 0.995
 def _tokens(ranks_path: str) -> tiktoken.Encoding:
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added, whole = {}, os.path.splitext(ranks_path)[0] + ".json"
+    if os.path.exists(whole):
+        with open(whole) as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, ranks_path: str | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: token ids of whole texts and an end id, cut where longer than ``size``.
 
-    The ids are those of the tokenizers library with the same vocabulary (the file of ranks is read by a faster
-    library; control strings in a text are ordinary text). Only the first piece of a longer
+    The ids are those of the tokenizers library with the same vocabulary: the file of ranks is read by a faster
+    library, the added tokens, which count inside texts too, come from the .json file beside it. Only the first piece of a longer
     document may be shorter than ``size``. Null text is empty: one piece with the end id alone.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -55,7 +61,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for r, text in enumerate(batch.column(1)):
-                ids = np.append(coder.encode_to_numpy(text.as_py(), disallowed_special=()), END).astype("<u4")
+                ids = np.append(coder.encode_to_numpy(text.as_py(), allowed_special="all"), END).astype("<u4")
                 first = len(ids) % size or size
                 cuts = [0, *range(first, len(ids) + 1, size)]
                 for n, (a, b) in enumerate(zip(cuts, cuts[1:])):

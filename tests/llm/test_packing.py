@@ -24,6 +24,16 @@ def test_ids_are_those_of_the_tokenizers_library(spark):
         assert at == len(ids)
 
 
+def test_added_tokens_inside_texts_are_those_of_the_tokenizers_library(spark):
+    texts = [(1, "<|endoftext|>"), (2, "one<|endoftext|>two <|endoftext|>\n<|endoftext|><|endoftext|> x"), (3, "<|endoftext|"), (4, prose(3, 1500) + "<|endoftext|>" + prose(4, 10))]
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {(r.doc_id, r.piece): r for r in token_pieces(documents(spark, texts)).collect()}
+    for i, text in texts:
+        ids = np.array([*coder.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        mine = [got[k] for k in sorted(got) if k[0] == i]
+        assert [r.ids_crc32 for r in mine] == [zlib.crc32(ids[r.start:r.start + r.length].tobytes()) for r in mine] and sum(r.length for r in mine) == len(ids)
+
+
 def sound(rows, cap=1024):
     by = {}
     for r in rows:
