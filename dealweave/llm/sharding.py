@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from dealweave.llm.registry import query, read
 
+BLOCKS = 256
+
 
 def communication_matrix(block_rows: list[int], cell_rows: list[int], seed: int) -> np.ndarray:
     """Rows by source block, columns by target cell; sums are exactly the two arguments."""
@@ -38,6 +40,11 @@ def cell_sizes(total: int, shards: int, rows_per_block: int) -> tuple[list[int],
     return sizes, owner
 
 
+def block_size(total: int) -> int:
+    """Rows of a block: 4,096, or more where that would make more than about ``BLOCKS`` blocks."""
+    return max(4096, -(-total // BLOCKS))
+
+
 def shuffled_shards(rows: DataFrame, key: str = "doc_id", shards: int = 8, seed: int = 0, rows_per_block: int | None = None) -> DataFrame:
     """All columns of ``rows`` (those named ``shard`` or ``slot`` are replaced) with ``shard`` and ``slot``.
 
@@ -46,8 +53,9 @@ def shuffled_shards(rows: DataFrame, key: str = "doc_id", shards: int = 8, seed:
     (seed, key), so a recomputed task deals the same rows again; rows that share a key are told
     apart by all their other columns, and rows equal in all columns are interchangeable. Equal texts are not
     kept together: that law and a uniform shuffle exclude each other. Null keys are ordinary keys. An empty
-    table gives no rows. A block has ``rows_per_block`` rows, by default 4,096 and at least 1/8192 of all, so that the matrix,
-    all that the driver holds, stays below 8192 times 8200 counts.
+    table gives no rows. A block has ``rows_per_block`` rows, by default ``block_size``: the driver holds the matrix and
+    a tuple for each of its cells, at most 256 times 264 with 8 shards, however many rows there are. Blocks and cells are ordered by
+    windows, which spill to disk.
     """
     rows = rows.drop("shard", "slot")
     names = rows.columns
@@ -58,7 +66,7 @@ def shuffled_shards(rows: DataFrame, key: str = "doc_id", shards: int = 8, seed:
         return F.xxhash64(F.lit(seed), F.lit(salt), *ties)
 
     total = rows.count()
-    rows_per_block = rows_per_block or max(4096, total // 8192)
+    rows_per_block = rows_per_block or block_size(total)
     blocks = max(1, -(-total // rows_per_block))
     placed = rows.withColumn("_block", F.pmod(mixed(1), F.lit(blocks)).cast("int"))
     counts = {r["_block"]: r["n"] for r in placed.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per block

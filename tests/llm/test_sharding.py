@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from dealweave.llm.sharding import cell_sizes, communication_matrix, shuffled_shards
+from dealweave.llm.sharding import block_size, cell_sizes, communication_matrix, shuffled_shards
 from tests.llm.helpers import documents, empty, rows
 
 
@@ -39,3 +39,9 @@ def test_every_shard_is_equally_likely(spark):
 def test_small_and_empty_tables(spark):
     assert shuffled_shards(empty(spark)).count() == 0
     assert rows(shuffled_shards(documents(spark, [(1, "a")])), "slot") == [(0,)]
+
+
+def test_what_the_driver_holds_does_not_grow_with_the_rows():
+    for total in (10**6, 5 * 10**6, 33 * 10**6, 10**9):
+        rows_per_block = block_size(total)
+        assert -(-total // rows_per_block) * len(cell_sizes(total, 8, rows_per_block)[0]) <= 256 * 264
