@@ -25,8 +25,8 @@ from dealweave.session import cut_lineage
 
 SAMPLE = 2_048  # vectors that the index is fitted on
 TABLES = 2
-RECALL = 0.97  # estimated chance to visit a neighbour's bucket in some table
-BUCKET = 2_048  # rows that a bucket holds on average
+RECALL = 0.94  # estimated chance to visit a neighbour's bucket in some table
+BUCKET = 512  # rows that a bucket holds on average
 STEP = 2.0  # width of a hash step in deviations of the data
 BLOCK = 1 << 18  # components on either side of a block
 SEED = 13
