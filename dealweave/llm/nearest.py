@@ -5,7 +5,8 @@ length one; queries have length one and nothing there. A table hashes by several
 2-stable: a projection of the difference of two vectors is normal with their distance as deviation). A query visits its own bucket and
 perturbed ones around it in the order of the estimated chance that a neighbour lies there, until the chances add up to the table's share
 of the wanted recall. There is no cap on buckets or visits: large buckets and many visitors meet in blocks of bounded size.
-What a bucket holds is ranked by the exact inner product, and each block passes on a query's best only; the best of all tables are the result.
+What a bucket holds is ranked by the exact inner product. The likeliest buckets are visited first; of the others a block passes on only
+what is no worse than the k-th best found there. The best of all tables are the result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ SAMPLE = 2_048  # vectors that the index is fitted on
 TABLES = 2
 RECALL = 0.94  # estimated chance to visit a neighbour's bucket in some table
 BUCKET = 512  # rows that a bucket holds on average
+FIRST = 0.2  # chance of the buckets that are visited first
 STEP = 2.0  # width of a hash step in deviations of the data
 BLOCK = 1 << 18  # components on either side of a block
 SEED = 13
@@ -94,8 +96,8 @@ class Index:
         cells = np.floor(self.places(scaled(x, self.largest)))
         return np.stack([self.codes(cells[:, t * self.functions:(t + 1) * self.functions]) for t in range(self.tables)], axis=1)
 
-    def visits(self, q: np.ndarray, share: float) -> list[list[np.ndarray]]:
-        """Per query and table the buckets to visit, in the order of estimated success."""
+    def visits(self, q: np.ndarray, share: float) -> list[list[tuple[np.ndarray, int]]]:
+        """Per query and table the buckets to visit in the order of estimated success, and how many of them come first."""
         places = self.places(pointed(q))
         reach = np.arange(-16, 16)
         out = []
@@ -110,23 +112,25 @@ class Index:
             out.append([self._walk(reach[order[s]], best[s], share) for s in (slice(t * self.functions, (t + 1) * self.functions) for t in range(self.tables))])
         return out
 
-    def _walk(self, cells: np.ndarray, chance: np.ndarray, share: float) -> np.ndarray:
-        """Cells of the functions in falling order of the product of their chances, until these add up to ``share``."""
+    def _walk(self, cells: np.ndarray, chance: np.ndarray, share: float) -> tuple[np.ndarray, int]:
+        """Cells of the functions in falling order of the product of their chances, until these add up to ``share``; the number after which they add up to
+        ``FIRST``."""
         with np.errstate(divide="ignore"):
             logs = np.log(chance).tolist()
-        count, found, total = len(logs), [], 0.0
+        count, found, total, first = len(logs), [], 0.0, 0
         heap = [(-sum(c[0] for c in logs), 0, (0,) * count)]
         while heap and total < share:
             cost, last, at = heapq.heappop(heap)
             if cost == math.inf:
                 break
             found.append([cells[i, j] for i, j in enumerate(at)])
+            first += total < FIRST
             total += math.exp(-cost)
             for i in range(last, count):  # every set of steps is reached once: by its first functions first
                 j = at[i] + 1
                 if j < len(logs[i]):
                     heapq.heappush(heap, (cost + logs[i][j - 1] - logs[i][j], i, at[:i] + (j,) + at[i + 1:]))
-        return self.codes(np.array(found))
+        return self.codes(np.array(found)), first
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -134,21 +138,19 @@ def _normal(x: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- search
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """``query_id, row_id, score`` of each query's k best rows of other ids. The product of matrices selects; scores of the selected are
+def best_of_block(queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """``query_id, row_id, score`` of each query's k best rows of other ids that score ``least``. The product of matrices selects; scores of the selected are
     summed in one order, so that equal vectors score equal."""
     out = []
     for at in range(0, len(queries), 256):
         q, ids = queries[at:at + 256], query_ids[at:at + 256]
         rough = q @ rows.T
         rough[ids[:, None] == row_ids[None, :]] = -np.inf
+        bound = least[at:at + 256]
         if rough.shape[1] > k:
-            least = np.partition(rough, rough.shape[1] - k, axis=1)[:, -k]
-            slack = 1e-9 * (np.abs(q) @ np.abs(rows).max(axis=0))
-            chosen = (rough >= (least - slack)[:, None]) & (rough > -np.inf)
-        else:
-            chosen = rough > -np.inf
-        a, b = np.nonzero(chosen)
+            bound = np.maximum(bound, np.partition(rough, rough.shape[1] - k, axis=1)[:, -k])
+        slack = 1e-9 * (np.abs(q) @ np.abs(rows).max(axis=0))
+        a, b = np.nonzero((rough >= (bound - slack)[:, None]) & (rough > -np.inf))
         score = np.concatenate([(q[a[i:i + 8192]] * rows[b[i:i + 8192]]).sum(axis=1) for i in range(0, max(len(a), 1), 8192)])
         order = np.lexsort((row_ids[b], -score, a))
         a, b, score = a[order], b[order], score[order]
@@ -159,8 +161,8 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
 
 
 def _in_blocks(rows: DataFrame, queries: DataFrame, keys: list[str], size: int, k: int) -> DataFrame:
-    """``query_id, vec_id, score``: each query's best k of the rows that it meets under its keys. Rows and queries of one key are dealt over as many
-    blocks as their numbers ask for; every pair of blocks is met once."""
+    """``query_id, vec_id, score``: each query's best k, per block, of the rows that it meets under its keys and that score its ``least``. Rows and queries
+    of one key are dealt over as many blocks as their numbers ask for; every pair of blocks is met once."""
     def load(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
 
@@ -168,13 +170,13 @@ def _in_blocks(rows: DataFrame, queries: DataFrame, keys: list[str], size: int,
 
     def dealt(side: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
         placed = side.join(met, keys).withColumn(mine, F.pmod(F.xxhash64("id", "v"), F.col(own)).cast("int"))
-        return placed.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select(*keys, "_r", "_q", "id", "v")
+        return placed.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select(*keys, "_r", "_q", *side.drop(*keys).columns)
 
     def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         else:
-            found = best_of_block(matrix(right["v"].combine_chunks()), right["id"].to_numpy(), matrix(left["v"].combine_chunks()), left["id"].to_numpy(), k)
+            found = best_of_block(matrix(right["v"].combine_chunks()), right["id"].to_numpy(), right["least"].to_numpy(), matrix(left["v"].combine_chunks()), left["id"].to_numpy(), k)
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
     by = [*keys, "_r", "_q"]
@@ -215,26 +217,35 @@ def nearest(table: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), t, np.int32)), pa.array(codes[:, t]), b.column(0), b.column(1)], names=["t", "b", "id", "v"])
 
-    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                for t, visits in enumerate(zip(*index.visits(matrix(part.column(1)), share))):
-                    origin = pa.array(np.repeat(np.arange(len(visits)), [len(x) for x in visits]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(origin), t, np.int32)), pa.array(np.concatenate(visits)), part.column(0).take(origin), part.column(1).take(origin)],
-                                                     names=["t", "b", "id", "v"])
-
-    shape = "t int, b long, id long, v array<double>"
-    asking = rows.where(is_query)
+    def probed(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    for t, visits in enumerate(zip(*index.visits(matrix(part.column(1)), share))):
+                        chosen = [x[:n] if first else x[n:] for x, n in visits]
+                        origin = pa.array(np.repeat(np.arange(len(chosen)), [len(x) for x in chosen]))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(origin), t, np.int32)), pa.array(np.concatenate(chosen)), *[c.take(origin) for c in part.columns]],
+                                                         names=["t", "b", "id", "v", "least"])
+
+        return run
+
+    stored, asked = "t int, b long, id long, v array<double>", "t int, b long, id long, v array<double>, least double"
+    asking = rows.where(is_query).withColumn("least", F.lit(-math.inf))
     size = max(64, BLOCK // top.d)
-    found = cut_lineage(_ranked(_in_blocks(rows.mapInArrow(hashed, shape), asking.mapInArrow(probed, shape), ["t", "b"], size, k), k))
+    placed = rows.mapInArrow(hashed, stored)
+    begun = cut_lineage(_ranked(_in_blocks(placed, asking.mapInArrow(probed(True), asked), ["t", "b"], size, k), k))
+    reached = begun.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("_k"))
+    onward = asking.join(reached, "id", "left").select("id", "v", F.coalesce("_k", "least").alias("least"))
+    further = _in_blocks(placed, onward.mapInArrow(probed(False), asked), ["t", "b"], size, k)
+    found = cut_lineage(_ranked(begun.select(*further.columns).unionByName(further), k))
     full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select(F.col("query_id").alias("id"))
     short = cut_lineage(asking.join(full, "id", "left_anti"))
     if short.isEmpty():
         return found
 
     def everywhere(side: DataFrame) -> DataFrame:
-        return side.select(F.lit(0).alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))
+        return side.select(F.lit(0).alias("b"), *[F.col(c).alias(c) for c in side.columns])
 
     rest = _ranked(_in_blocks(everywhere(rows), everywhere(short), ["b"], size, k), k)
     return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
