@@ -137,11 +137,11 @@ def visual_similarity(a: Column, b: Column) -> Column:
 
 
 @lru_cache(maxsize=65536)
-def _ratio(a: str, b: str) -> float:
+def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, for which Spark has no built-in; 0 when either is blank."""
-    return pd.Series([_ratio(x, y) if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([ratio(x, y) if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")

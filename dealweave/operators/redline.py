@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from dealweave.functions import text as T
-from dealweave.functions.pages import _ratio, sequence_ratio
+from dealweave.functions.pages import ratio, sequence_ratio
 from dealweave.operators import hot
 from dealweave.operators.assign import first_come
 from dealweave.session import cut_lineage
@@ -175,7 +175,7 @@ def column_map(orig: pd.Series, mod: pd.Series) -> pd.Series:
         for i, x in enumerate(a):
             if i in out or not x:
                 continue
-            best = max(((_ratio(x, b[j]), -j) for j in free if b[j]), default=(0.0, 0))
+            best = max(((ratio(x, b[j]), -j) for j in free if b[j]), default=(0.0, 0))
             if best[0] > FUZZY_HEADER:
                 out[i] = -best[1]
                 free.discard(-best[1])

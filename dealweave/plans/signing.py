@@ -282,12 +282,12 @@ def udf_03(t):
 def sco_05(t):
     s, o = both_sides(t)
     sp, op = X.profiles(X.profiled(s.where("kind = 'signature'"), [])), X.profiles(X.profiled(o, ["clean_name", "detected_name", "footer_name", "title_name"]))
-    return X.score_pairs(X.evidence_pairs(sp, op), sp, op)
+    return X.scored_pages(sp, op)
 
 
 @query("top_07")
 def top_07(t):
-    return sco_05(t).where("plausible").orderBy(F.desc("score"), F.desc("doc_name_score"), F.desc("tail_score"), F.desc("text_score"), "sp", "op")
+    return sco_05(t).orderBy(F.desc("score"), F.desc("doc_name_score"), F.desc("tail_score"), F.desc("visual_score"), F.desc("text_score"), "sp", "op")
 
 
 @query("sco_07")
