@@ -107,18 +107,18 @@ def line_signers(pages: DataFrame) -> DataFrame:
     return pages.select("deal_id", "doc_id", "page_num", F.explode(found).alias("s")).select("deal_id", "doc_id", "page_num", "s.name", "s.title")
 
 
-def role_signers(mappings: DataFrame, signers: DataFrame) -> DataFrame:
-    """Role to chosen signer: ``mappings`` is (entity_name, role, signer_index, seq), ``signers``
-    has the 0-based ``pos`` of each signer in its entity. A later mapping of a role replaces an
-    earlier one when its signer exists."""
+def role_signers(mappings: DataFrame, signers: DataFrame, keys=("checklist_id",)) -> DataFrame:
+    """Role to chosen signer within each deal (``keys``): ``mappings`` is (keys, entity_name, role, signer_index, seq), ``signers``
+    has the 0-based ``pos`` of each signer in its entity. A later mapping of a role in its deal replaces an
+    earlier one when its signer exists; the same role of another deal is another role."""
     j = mappings.join(signers, (mappings.entity_name == signers.entity_name) & (mappings.signer_index == signers.pos)).select(
-        mappings.entity_name, "role", "seq", "name", "title")
-    return j.groupBy("role").agg(F.max_by(F.struct("entity_name", "name", "title"), "seq").alias("m")).select("role", "m.*")
+        *keys, mappings.entity_name, "role", "seq", "name", "title")
+    return j.groupBy(*keys, "role").agg(F.max_by(F.struct("entity_name", "name", "title"), "seq").alias("m")).select(*keys, "role", "m.*")
 
 
 def signature_pages(roles: DataFrame, signers: DataFrame) -> DataFrame:
-    """Signature-page text per document: its roles in order, placeholders for unknown roles."""
-    j = roles.join(signers, "role", "left")
+    """Signature-page text per document: its roles in order with the signers of its checklist, placeholders for unknown roles."""
+    j = roles.join(signers, ["checklist_id", "role"], "left")
     block = SG.signature_block(F.coalesce("entity_name", F.concat(F.lit("["), F.col("role"), F.lit("]"))), F.col("role"), F.col("name"), F.col("title"))
     packed = F.array_sort(F.collect_list(F.struct("pos", block.alias("b"))))  # roles of one document row
     head = F.concat(F.lit("SIGNATURE PAGE TO "), F.upper("document_name"), F.lit("\n\n[Signature Page Follows]\n\n\n"))
@@ -127,16 +127,18 @@ def signature_pages(roles: DataFrame, signers: DataFrame) -> DataFrame:
         F.concat(head, F.array_join(F.transform("p", lambda x: F.concat(x["b"], F.lit("\n\n"))), "\n")).alias("page_text"))
 
 
-def match_files(files: DataFrame, names: DataFrame) -> DataFrame:
-    """Files to checklist names by containment either way, or with spaces removed; the first
-    checklist entry wins. ``files`` is (file_id, stem), ``names`` (checklist order ``seq``, name)."""
+def match_files(files: DataFrame, names: DataFrame, keys=("checklist_id",)) -> DataFrame:
+    """Files of a deal to the names of its checklist by containment either way, or with spaces removed; the first
+    checklist entry wins. ``files`` is (keys, file_id, stem), ``names`` (keys, checklist order ``seq``, name). Keys are not null."""
+    keys = list(keys)
     f = files.withColumn("f", F.lower("stem")).withColumn("fs", F.replace("f", F.lit(" "), F.lit("")))
     n = names.withColumn("n", F.lower("name")).withColumn("ns", F.replace("n", F.lit(" "), F.lit("")))
-    stems, firsts = f.select("f", "fs").distinct(), n.groupBy("n", "ns").agg(F.min("seq").alias("seq"))
+    stems, firsts = f.select(*keys, "f", "fs").distinct(), n.groupBy(*keys, "n", "ns").agg(F.min("seq").alias("seq"))
     within = containing(stems.select("f"), firsts.select("n")).toDF("f", "n")
     around = containing(firsts.select("n"), stems.select("f")).toDF("n", "f").select("f", "n")
     tight = containing(stems.select("fs"), firsts.select("ns")).toDF("fs", "ns")
-    tight = tight.join(stems, "fs").join(firsts.select("n", "ns"), "ns").select("f", "n")
-    best = within.unionAll(around).unionAll(tight).distinct().join(firsts, "n").groupBy("f").agg(F.min("seq").alias("seq"))
-    out = f.join(best, "f", "left").join(names.select("seq", "name"), "seq", "left")
-    return out.select("file_id", "stem", F.col("name").alias("matched_name"), F.when(F.col("name").isNull(), "copied").otherwise("processed").alias("status"))
+    tight = tight.join(stems.select("f", "fs").distinct(), "fs").join(firsts.select("n", "ns").distinct(), "ns").select("f", "n")
+    texts = within.unionAll(around).unionAll(tight).distinct()
+    best = stems.join(texts, "f").join(firsts, [*keys, "n"]).groupBy(*keys, "f").agg(F.min("seq").alias("seq"))
+    out = f.join(best, [*keys, "f"], "left").join(names.select(*keys, "seq", "name"), [*keys, "seq"], "left")
+    return out.select(*keys, "file_id", "stem", F.col("name").alias("matched_name"), F.when(F.col("name").isNull(), "copied").otherwise("processed").alias("status"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dealweave import lexicon as lx
@@ -14,6 +16,7 @@ from dealweave.operators import policy as PO
 from dealweave.plans import duck as q
 from dealweave.plans.mail import FILES, FLAG_PICK_SQL, long
 from dealweave.plans.registry import query
+from dealweave.session import shared_folder
 from dealweave.sources import tables as S
 
 # ---------------------------------------------------------------- policy
@@ -204,6 +207,22 @@ def stm_02(t):
     return normalized_events(raw).groupBy("collection").agg(F.count(F.lit(1)).alias("events"))
 
 
+def accepted(collection, chunk, rows):
+    """A sink that takes every chunk of its size."""
+    if not 0 < len(rows) <= lx.RETRY_CHUNK:
+        raise ValueError("chunk of a wrong size")
+
+
+@query("stm_03", f"SELECT collection, chunk, count(*) AS rows FROM (SELECT collection, CAST(floor((row_number() OVER (PARTITION BY collection ORDER BY event_id) - 1) / {lx.RETRY_CHUNK}) AS BIGINT) AS chunk FROM (SELECT event_id, CASE WHEN lower(trim(c)) IN ({', '.join(repr(c) for c in lx.TELEMETRY_COLLECTIONS)}) THEN lower(trim(c)) ELSE 'usage_history' END AS collection FROM (SELECT event_id, {COLL} AS c FROM v_usage) a) b) z GROUP BY 1, 2")
+def stm_03(t):
+    from dealweave.streaming.telemetry import flush_chunks, ledger, normalized_events
+
+    raw = t.v_usage.select("event_id", F.expr(COLL).alias("collection"), F.col("feature").alias("event_type"), F.col("props").alias("payload"))
+    folder = f"{shared_folder(t.spark)}/ledger-{uuid.uuid4().hex}"
+    flush_chunks(normalized_events(raw, keep=["event_id"]), "event_id", accepted, folder, wave=64)
+    return ledger(t.spark, folder).select("collection", "chunk", "rows")
+
+
 @query("mat_01", "SELECT event_id, round(value, 1) AS one, round(value, 4) AS four, CAST(round(value) AS BIGINT) AS whole FROM events")
 def mat_01(t):
     return t.events.select("event_id", F.round("value", 1).alias("one"), F.round("value", 4).alias("four"), F.round("value").cast("long").alias("whole"))

@@ -375,10 +375,10 @@ def src_12(t):
 
 
 # Roles of the checklists are played by entities; the mapping picks a signer by position.
-MAPS = """SELECT concat('ACME ', CAST(c_custkey % 20 AS STRING), ' Holdings, LLC') AS entity_name, CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'Borrower' WHEN 1 THEN 'Agent' WHEN 2 THEN 'Company' ELSE 'Lenders' END AS role,
+MAPS = """SELECT CAST(c_custkey % 20 AS BIGINT) AS checklist_id, concat('ACME ', CAST(c_custkey % 17 AS STRING), ' Holdings, LLC') AS entity_name, CASE CAST(floor(c_custkey / 20) AS INT) % 4 WHEN 0 THEN 'Borrower' WHEN 1 THEN 'Agent' WHEN 2 THEN 'Company' ELSE 'Lenders' END AS role,
  CAST(c_custkey % 3 AS BIGINT) AS signer_index, c_custkey AS seq FROM customer"""
 RS = f"""{INC}, ip AS (SELECT *, row_number() OVER (PARTITION BY entity_name ORDER BY row_idx) - 1 AS pos FROM inc), mp AS ({MAPS}),
-rs AS (SELECT role, arg_max(entity_name, seq) AS entity_name, arg_max(name, seq) AS name, arg_max(title, seq) AS title FROM mp JOIN ip USING (entity_name) WHERE pos = signer_index GROUP BY 1)"""
+rs AS (SELECT checklist_id, role, arg_max(entity_name, seq) AS entity_name, arg_max(name, seq) AS name, arg_max(title, seq) AS title FROM mp JOIN ip USING (entity_name) WHERE pos = signer_index GROUP BY 1, 2)"""
 
 
 def chosen(t):
@@ -388,7 +388,7 @@ def chosen(t):
     return S.role_signers(spark_sql(t.spark, t.sf_dir, MAPS), s)
 
 
-@query("jon_02", f"WITH {RS} SELECT role, entity_name, name, title FROM rs")
+@query("jon_02", f"WITH {RS} SELECT checklist_id, role, entity_name, name, title FROM rs")
 def jon_02(t):
     return chosen(t)
 
@@ -396,14 +396,14 @@ def jon_02(t):
 ROLES = r"""ro AS (SELECT checklist_id, document_name, unnest(roles) AS role, unnest(range(0, len(roles))) AS pos FROM (SELECT checklist_id, trim(document_name) AS document_name, arg_max(list_filter(list_transform(string_split_regex(signatories, '[,;]|\band\b'), lambda x: trim(x)), lambda x: length(x) > 1), row_id) AS roles FROM v_rows WHERE trim(document_name) <> '' AND signatories <> '' GROUP BY 1, 2) z)"""
 
 
-@query("jon_03", f"WITH {RS}, {ROLES} SELECT checklist_id, document_name, pos, role, coalesce(entity_name, '[' || role || ']') AS entity, coalesce(name, '') AS signer FROM ro LEFT JOIN rs USING (role)")
+@query("jon_03", f"WITH {RS}, {ROLES} SELECT checklist_id, document_name, pos, role, coalesce(entity_name, '[' || role || ']') AS entity, coalesce(name, '') AS signer FROM ro LEFT JOIN rs USING (checklist_id, role)")
 def jon_03(t):
-    j = C.signatory_roles(t.v_rows).join(chosen(t), "role", "left")
+    j = C.signatory_roles(t.v_rows).join(chosen(t), ["checklist_id", "role"], "left")
     return j.select("checklist_id", "document_name", long("pos").alias("pos"), "role", F.coalesce("entity_name", F.concat(F.lit("["), F.col("role"), F.lit("]"))).alias("entity"), F.coalesce("name", F.lit("")).alias("signer"))
 
 
 RULE = "'________________________'"
-BLOCKS = f"""bl AS (SELECT checklist_id, document_name, pos, concat(upper(coalesce(entity_name, '[' || role || ']')), ',', chr(10), 'as ', role, chr(10), chr(10), chr(10), 'By: ', {RULE}, chr(10), 'Name: ', coalesce(name, {RULE}), chr(10), 'Title: ', coalesce(title, {RULE})) AS b FROM ro LEFT JOIN rs USING (role)),
+BLOCKS = f"""bl AS (SELECT checklist_id, document_name, pos, concat(upper(coalesce(entity_name, '[' || role || ']')), ',', chr(10), 'as ', role, chr(10), chr(10), chr(10), 'By: ', {RULE}, chr(10), 'Name: ', coalesce(name, {RULE}), chr(10), 'Title: ', coalesce(title, {RULE})) AS b FROM ro LEFT JOIN rs USING (checklist_id, role)),
 pg AS (SELECT checklist_id, document_name, count(*) AS blocks, concat('SIGNATURE PAGE TO ', upper(document_name), chr(10), chr(10), '[Signature Page Follows]', chr(10), chr(10), chr(10), string_agg(b || chr(10) || chr(10), chr(10) ORDER BY pos)) AS page_text FROM bl GROUP BY 1, 2)"""
 
 
@@ -412,25 +412,25 @@ def str_23(t):
     return S.signature_pages(C.signatory_roles(t.v_rows), chosen(t)).withColumn("blocks", long("blocks"))
 
 
-FILES_SQL = "SELECT row_id AS file_id, CASE CAST(row_id % 4 AS INT) WHEN 0 THEN concat('final ', document_name) WHEN 1 THEN replace(document_name, ' ', '') WHEN 2 THEN document_name ELSE concat('memo ', CAST(row_id AS STRING)) END AS stem FROM v_rows WHERE document_name <> ''"
-MATCHED = f"""fi AS ({FILES_SQL}), na AS (SELECT min(row_id) AS seq, document_name AS name FROM v_rows WHERE document_name <> '' GROUP BY 2),
-fs AS (SELECT DISTINCT lower(stem) AS f FROM fi), fm AS (SELECT f, min(seq) AS seq FROM fs JOIN na ON contains(lower(name), f) OR contains(f, lower(name)) OR contains(replace(lower(name), ' ', ''), replace(f, ' ', '')) GROUP BY 1),
-mf AS (SELECT file_id, stem, name AS matched_name, CASE WHEN name IS NULL THEN 'copied' ELSE 'processed' END AS status FROM fi LEFT JOIN fm ON lower(stem) = f LEFT JOIN na USING (seq))"""
+FILES_SQL = "SELECT checklist_id, row_id AS file_id, CASE CAST(row_id % 4 AS INT) WHEN 0 THEN concat('final ', document_name) WHEN 1 THEN replace(document_name, ' ', '') WHEN 2 THEN document_name ELSE concat('memo ', CAST(row_id AS STRING)) END AS stem FROM v_rows WHERE document_name <> ''"
+MATCHED = f"""fi AS ({FILES_SQL}), na AS (SELECT checklist_id, min(row_id) AS seq, document_name AS name FROM v_rows WHERE document_name <> '' GROUP BY 1, 3),
+fs AS (SELECT DISTINCT checklist_id, lower(stem) AS f FROM fi), fm AS (SELECT fs.checklist_id, f, min(seq) AS seq FROM fs JOIN na ON fs.checklist_id = na.checklist_id AND (contains(lower(name), f) OR contains(f, lower(name)) OR contains(replace(lower(name), ' ', ''), replace(f, ' ', ''))) GROUP BY 1, 2),
+mf AS (SELECT fi.checklist_id, file_id, stem, name AS matched_name, CASE WHEN name IS NULL THEN 'copied' ELSE 'processed' END AS status FROM fi LEFT JOIN fm ON lower(stem) = f AND fi.checklist_id = fm.checklist_id LEFT JOIN na ON na.checklist_id = fm.checklist_id AND na.seq = fm.seq)"""
 
 
 def file_matches(t):
     from dealweave.fixtures import spark_sql
 
-    names = t.v_rows.where("document_name <> ''").groupBy(F.col("document_name").alias("name")).agg(F.min("row_id").alias("seq"))
+    names = t.v_rows.where("document_name <> ''").groupBy("checklist_id", F.col("document_name").alias("name")).agg(F.min("row_id").alias("seq"))
     return S.match_files(spark_sql(t.spark, t.sf_dir, FILES_SQL), names)
 
 
-@query("jon_01", f"WITH {MATCHED} SELECT file_id, stem, matched_name, status FROM mf")
+@query("jon_01", f"WITH {MATCHED} SELECT checklist_id, file_id, stem, matched_name, status FROM mf")
 def jon_01(t):
     return file_matches(t)
 
 
-@query("pip_11", f"WITH {RS}, {ROLES}, {BLOCKS}, {MATCHED} SELECT file_id, checklist_id, matched_name, blocks FROM mf JOIN pg ON document_name = matched_name")
+@query("pip_11", f"WITH {RS}, {ROLES}, {BLOCKS}, {MATCHED} SELECT file_id, mf.checklist_id, matched_name, blocks FROM mf JOIN pg ON document_name = matched_name AND mf.checklist_id = pg.checklist_id")
 def pip_11(t):
     pages = S.signature_pages(C.signatory_roles(t.v_rows), chosen(t)).select("checklist_id", F.col("document_name").alias("matched_name"), long("blocks").alias("blocks"))
-    return file_matches(t).where("status = 'processed'").join(pages, "matched_name").select("file_id", "checklist_id", "matched_name", "blocks")
+    return file_matches(t).where("status = 'processed'").join(pages, ["checklist_id", "matched_name"]).select("file_id", "checklist_id", "matched_name", "blocks")

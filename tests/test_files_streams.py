@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -94,11 +95,60 @@ def test_ingest_routes_and_resumes(spark, tmp_path):
     assert out.where("payload = '{}'").count() == 334 and out.select("event_type").distinct().first()[0] == "event"
 
 
-def test_flush_is_idempotent(spark, tmp_path):
-    raw = ST.read_events(spark, events(tmp_path))
-    ST.flush(raw, str(tmp_path / "out"), str(tmp_path / "cp1")).awaitTermination()
-    ST.flush(raw, str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()  # same batch again
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
+def sink(folder, broken):
+    """Keeps every chunk as a file, but fails in chunk 2 of ``prompt_logs`` as long as the file ``broken`` exists."""
+    def send(collection, chunk, rows):
+        import json
+        import os
+
+        if collection == "prompt_logs" and chunk == 2 and os.path.exists(broken):
+            raise ConnectionError("refused")
+        with open(f"{folder}/{collection}-{chunk}.json", "a") as out:
+            out.write(json.dumps([r["n"] for r in rows]) + "\n")
+
+    return send
+
+
+def sent(folder):
+    import json
+
+    return {p.stem: [json.loads(line) for line in p.read_text().splitlines()] for p in folder.iterdir()}
+
+
+@pytest.mark.parametrize("wave", [1, 3])
+def test_queue_stops_at_the_failed_chunk_and_goes_on_there(spark, tmp_path, wave):
+    queue = spark.createDataFrame([(i * 7, "prompt_logs" if i % 4 else "usage_history", i) for i in range(80)], "n long, collection string, v long").repartition(5)
+    folder, broken = tmp_path / "sink", tmp_path / "broken"
+    folder.mkdir()
+    broken.touch()
+    send = sink(str(folder), str(broken))
+    with pytest.raises(ST.ChunkFailed) as failed:
+        ST.flush_chunks(queue, "n", send, str(tmp_path / "ledger"), chunk=10, wave=wave)
+    assert (failed.value.collection, failed.value.chunk) == ("prompt_logs", 2) and failed.value.written == 40
+    assert ("prompt_logs-3" in sent(folder)) == (wave > 3) and "prompt_logs-2" not in sent(folder)
+    broken.unlink()
+    assert ST.flush_chunks(queue, "n", send, str(tmp_path / "ledger"), chunk=10, wave=wave) == 80
+    assert ST.flush_chunks(queue, "n", send, str(tmp_path / "ledger"), chunk=10, wave=wave) == 80  # nothing is left to send
+    got = sent(folder)
+    assert all(len(times) == 1 for times in got.values())
+    for c, want in (("prompt_logs", [i * 7 for i in range(80) if i % 4]), ("usage_history", [i * 7 for i in range(80) if not i % 4])):
+        assert sum((got[f"{c}-{k}"][0] for k in range(-(-len(want) // 10))), []) == want
+
+
+def test_stream_of_events_is_flushed_after_a_failure(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    folder, broken = tmp_path / "sink", tmp_path / "broken"
+    folder.mkdir()
+    broken.touch()
+    spark.range(1500).selectExpr("id AS n", "'prompt_logs' AS collection", "'x' AS event_type", "'{}' AS payload").coalesce(1).write.mode("overwrite").json(str(tmp_path / "in"))
+    raw = ST.read_events(spark, str(tmp_path / "in"), "n long, collection string, event_type string, payload string")
+    run = lambda: ST.flush(raw, "n", sink(str(folder), str(broken)), str(tmp_path / "ledger"), str(tmp_path / "cp")).awaitTermination()
+    with pytest.raises(Exception, match="chunk 2 of prompt_logs"):
+        run()
+    assert sorted(sent(folder)) == ["prompt_logs-0", "prompt_logs-1"]
+    broken.unlink()
+    run()
+    assert sorted(sum((v[0] for v in sent(folder).values()), [])) == list(range(1500)) and all(len(v) == 1 for v in sent(folder).values())
 
 
 def test_stream_usage_equals_batch(spark, tmp_path):
