@@ -83,6 +83,19 @@ SELECT CAST(l_orderkey % 50 AS BIGINT) AS deal_id, l_orderkey AS doc_id, l_linen
     WHEN 3 THEN concat('SCHEDULE ', CAST(min(l_partkey) % 9 AS STRING), chr(10), 'List of items')
     ELSE 'Ordinary prose page without any cue.' END AS page_text
 FROM lineitem GROUP BY l_orderkey, l_linenumber
+""",
+    # Tables on pages: a signature table on some pages, in one of two header vocabularies, and a price list on others.
+    "v_page_tables": """
+SELECT DISTINCT deal_id, doc_id, page_num, 0 AS table_no, 0 AS row_no,
+  CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'Printed Name' WHEN 1 THEN 'Item' ELSE 'Company' END AS c0,
+  CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'Sign here' WHEN 1 THEN 'Price' ELSE 'Signature' END AS c1
+FROM v_pages WHERE doc_id % 5 = 0 AND page_num % 4 IN (0, 2)
+UNION ALL
+SELECT DISTINCT deal_id, doc_id, page_num, 0, 1, concat('Rosa  Lind', chr(10), 'Vargas'), '' FROM v_pages WHERE doc_id % 5 = 0 AND page_num % 4 IN (0, 2)
+UNION ALL
+SELECT DISTINCT deal_id, doc_id, page_num, 0, 2, CASE WHEN doc_id % 2 = 0 THEN 'Harbor Lane LLC' ELSE '' END, '____' FROM v_pages WHERE doc_id % 5 = 0 AND page_num % 4 IN (0, 2)
+UNION ALL
+SELECT DISTINCT deal_id, doc_id, page_num, 1, 0, 'Name', 'Signature' FROM v_pages WHERE doc_id % 10 = 0 AND page_num % 4 = 0
 """,
     "v_signed_pages": """
 SELECT deal_id, doc_id + 10000000 AS signed_doc_id, page_num,

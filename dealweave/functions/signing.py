@@ -64,12 +64,36 @@ def cue_score(hits: Column) -> Column:
     return reduce(lambda a, w: a + F.when(F.array_contains(hits, w[0]), w[1]).otherwise(0), lx.CUE_WEIGHTS, F.lit(0))
 
 
+def page_tables(cells: DataFrame, keys=("deal_id", "doc_id", "page_num")) -> DataFrame:
+    """Per page ``has_signature_table`` and ``table_signers`` from table rows (keys, table_no, row_no, cells); row 0 heads a table.
+
+    Rows meet their header by a join, so no table is gathered into one row: a table of any length yields one distinct name after another, and only
+    the distinct names of a page come together, as they do in its text."""
+    keys = list(keys)
+    on = [*keys, "table_no"]
+    heads = cells.where("row_no = 0").select(*on, header_index(F.col("cells"), lx.SIGN_NAME_HEADERS).alias("_at"), F.coalesce(is_signature_table(F.col("cells")), F.lit(False)).alias("_is"))
+    heads = heads.where("_is").drop("_is")
+    name = signer_candidate(T.squash(F.coalesce(F.get("cells", F.col("_at")), F.lit(""))))
+    below = cells.where("row_no > 0").join(heads, on).select(*keys, name.alias("_n")).where((F.col("_n") != "") & (is_person(F.col("_n")) | is_entity(F.col("_n")))).distinct()
+    signers = below.groupBy(*keys).agg(F.array_sort(F.collect_list("_n")).alias("table_signers"))
+    marked = heads.select(*keys).distinct().withColumn("has_signature_table", F.lit(True))
+    return marked.join(signers, keys, "left")
+
+
 def _first(arr: Column) -> Column:
     return F.get(arr, F.lit(0))
 
 
-def with_signature_analysis(pages: DataFrame, text: str = "page_text") -> DataFrame:
-    """Add signers (sorted), method, cue_score, cue_hits, needs_review, is_signature_page."""
+def with_signature_analysis(pages: DataFrame, text: str = "page_text", tables: DataFrame | None = None) -> DataFrame:
+    """Add signers (sorted), method, cue_score, cue_hits, needs_review, is_signature_page.
+
+    ``tables`` has the table rows of the pages (deal_id, doc_id, page_num, table_no, row_no, cells): names in signature tables count as persons, and
+    such a table is a cue of its own. Without it only the text counts."""
+    keys = ["deal_id", "doc_id", "page_num"]
+    if tables is not None:
+        pages = pages.join(page_tables(tables, keys), keys, "left")
+    else:
+        pages = pages.withColumns({"has_signature_table": F.lit(None).cast("boolean"), "table_signers": F.lit(None).cast(EMPTY)})
     label = lx.NAME_LABEL + r"\s*(.+)"
     body = F.coalesce(F.col(text), F.lit(""))
     # Prose pages stop here: without a label, a BY block, a rule or a trigger phrase no detector fires.
@@ -132,9 +156,10 @@ def with_signature_analysis(pages: DataFrame, text: str = "page_text") -> DataFr
         "_ent": F.transform(F.filter("_lines", lambda x: ~x["lp"] & x["le"]), lambda x: x["lc"]),
         "_nt": F.exists(F.transform("_raw", lambda x, i: x["nm"] & x["lp"] & F.exists(F.slice("_raw", i + 2, F.lit(3)), lambda y: y["title"])), lambda b: b),
         "_trig": F.when(triggered, F.flatten(F.array(*[near_trigger(w) for w in lx.TRIGGER_PHRASES]))).otherwise(empty),
-        "cue_hits": cue_hits(F.col(text)),
+        "cue_hits": F.concat(cue_hits(F.col(text)), F.when(F.col("has_signature_table"), F.array(F.lit("SIGNATURE_TABLE"))).otherwise(empty)),
+        "_tab": F.coalesce("table_signers", empty),
     })
-    p = p.withColumn("_persons", F.array_union(F.array_union("_by", "_lab"), "_trig"))
+    p = p.withColumn("_persons", F.array_union(F.array_union(F.array_union("_by", "_lab"), "_trig"), "_tab"))
     none = F.size("_persons") == 0
     p = p.withColumn("_ents", F.when(none, F.array_union("_ent", F.array_compact(F.transform("_lines", above)))).otherwise(F.col("_ent")))
     p = p.withColumns({
@@ -145,11 +170,11 @@ def with_signature_analysis(pages: DataFrame, text: str = "page_text") -> DataFr
     cued = ~found & (F.col("cue_score") >= lx.CUE_PAGE_SCORE)
     method = F.concat_ws(
         ",", F.when(F.size("_by") > 0, "BY_BLOCK"), F.when(F.size("_lab") > 0, "LABEL"), F.when(F.size("_ent") > 0, "LABEL_ENTITY"),
-        F.when(F.col("_nt"), "NAME_TITLE"), F.when(F.size("_trig") > 0, "TRIGGER"),
+        F.when(F.col("_nt"), "NAME_TITLE"), F.when(F.size("_trig") > 0, "TRIGGER"), F.when(F.size("_tab") > 0, "TABLE"),
         F.when(none & (F.size("_ents") > 0), "ENTITY_FALLBACK"), F.when(cued, "SIGNATURE_CUE_REVIEW"))
     p = p.withColumns({
         "method": method, "is_signature_page": found | cued, "needs_review": (found & none) | cued,
-    }).drop("_raw", "_lines", "_by", "_lab", "_ent", "_nt", "_trig", "_persons", "_ents")
+    }).drop("_raw", "_lines", "_by", "_lab", "_ent", "_nt", "_trig", "_tab", "_persons", "_ents", "has_signature_table", "table_signers")
     return computed_once(p, *RESULT)
 
 

@@ -12,9 +12,9 @@ from dealweave.operators import hot
 from dealweave.operators.substring import containing
 
 
-def signature_index(pages: DataFrame) -> DataFrame:
-    """One row per (page, signer); pages with cues but no signer go to the unassigned bucket."""
-    p = SG.with_signature_analysis(pages).where("is_signature_page")
+def signature_index(pages: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """One row per (page, signer); pages with cues but no signer go to the unassigned bucket. ``tables`` as in ``with_signature_analysis``."""
+    p = SG.with_signature_analysis(pages, tables=tables).where("is_signature_page")
     who = F.when(F.size("signers") > 0, F.col("signers")).otherwise(F.array(F.lit(lx.UNASSIGNED)))
     return p.select(
         F.explode(who).alias("signer_name"), "deal_id", "doc_id", "page_num", "method",
@@ -45,12 +45,12 @@ def packet_checks(expected: DataFrame, actual: DataFrame) -> DataFrame:
         F.col("actual_units") == F.col("expected_units"), "verified").otherwise("count_mismatch"))
 
 
-def packet_shell(pages: DataFrame) -> DataFrame:
+def packet_shell(pages: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """Signature pages with distinct content in their deal (first seen by document and page), one row per signer.
 
     The first page of each content hash is an aggregate, so a text repeated a billion times is
     reduced before the shuffle."""
-    p = SG.with_signature_analysis(pages).where("is_signature_page").withColumn("content_hash", T.page_hash(F.col("page_text")))
+    p = SG.with_signature_analysis(pages, tables=tables).where("is_signature_page").withColumn("content_hash", T.page_hash(F.col("page_text")))
     first = p.groupBy("deal_id", "content_hash").agg(F.min_by(F.struct("doc_id", "page_num", "signers"), F.struct("doc_id", "page_num")).alias("p"))
     return first.select("deal_id", "content_hash", "p.*").select("deal_id", "content_hash", "doc_id", "page_num", F.explode("signers").alias("signer_name"))
 
@@ -62,10 +62,10 @@ def first_pages(pages: DataFrame) -> DataFrame:
         "deal_id", "content_hash", "at.*", "copies")
 
 
-def annex_warnings(pages: DataFrame, threshold: int = lx.LONG_ANNEX_PAGES) -> DataFrame:
+def annex_warnings(pages: DataFrame, threshold: int = lx.LONG_ANNEX_PAGES, tables: DataFrame | None = None) -> DataFrame:
     """Documents with more than ``threshold`` pages after their first page with a named signer,
     and whether an annex word shows on the five pages after it."""
-    p = SG.with_signature_analysis(pages)
+    p = SG.with_signature_analysis(pages, tables=tables)
     named = F.size("signers") > 0
     docs = p.groupBy("deal_id", "doc_id").agg(
         F.max("page_num").alias("total_pages"), F.min(F.when(named, F.col("page_num"))).alias("first_signature_page")

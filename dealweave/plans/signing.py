@@ -52,19 +52,33 @@ an AS (SELECT x, 3 * (c1::INT + c2::INT) + 2 * (c3::INT + c4::INT + c6::INT) + c
  coalesce((SELECT string_agg(DISTINCT s, '|' ORDER BY s) FROM sgn WHERE sgn.x = cu.x), '') AS signers, coalesce((SELECT bool_or(rev) FROM sgn WHERE sgn.x = cu.x), FALSE) AS rev,
  EXISTS (SELECT 1 FROM byb WHERE byb.x = cu.x AND s IS NOT NULL) AS m1, EXISTS (SELECT 1 FROM lf WHERE lf.x = cu.x AND lp) AS m2, EXISTS (SELECT 1 FROM lf WHERE lf.x = cu.x AND haslab AND NOT lp AND le) AS m3,
  EXISTS (SELECT 1 FROM lf a JOIN lf b ON a.x = b.x AND b.i BETWEEN a.i + 1 AND a.i + 3 WHERE a.x = cu.x AND a.lp AND b.ti AND regexp_matches(a.l, '(?i)\bNAME\s*:')) AS m4 FROM cu),
-ana AS (SELECT an.*, signers <> '' OR cue_score >= 5 AS is_page, rev OR (signers = '' AND cue_score >= 5) AS needs_review,
+ana0 AS (SELECT an.*, signers <> '' OR cue_score >= 5 AS is_page, rev OR (signers = '' AND cue_score >= 5) AS needs_review,
  concat_ws(',', CASE WHEN m1 THEN 'BY_BLOCK' END, CASE WHEN m2 THEN 'LABEL' END, CASE WHEN m3 THEN 'LABEL_ENTITY' END, CASE WHEN m4 THEN 'NAME_TITLE' END, CASE WHEN rev THEN 'ENTITY_FALLBACK' END, CASE WHEN signers = '' AND cue_score >= 5 THEN 'SIGNATURE_CUE_REVIEW' END) AS method FROM an),
-ix AS (SELECT unnest(string_split(CASE WHEN signers = '' THEN '{lx.UNASSIGNED}' ELSE signers END, '|')) AS signer_name, deal_id, doc_id, page_num, method, needs_review OR signers = '' AS review_required, CAST(cue_score AS BIGINT) AS cue_score, cues, page_text FROM v_pages JOIN ana ON page_text = x WHERE is_page)"""
+tb0 AS (SELECT deal_id, doc_id, page_num, table_no, list_position([regexp_matches(upper(trim(c0)), '{'|'.join(lx.SIGN_NAME_HEADERS)}'), regexp_matches(upper(trim(c1)), '{'|'.join(lx.SIGN_NAME_HEADERS)}')], TRUE) AS at_ FROM v_page_tables
+ WHERE row_no = 0 AND (regexp_matches(upper(c0), '{'|'.join(lx.SIGN_NAME_HEADERS)}') OR regexp_matches(upper(c1), '{'|'.join(lx.SIGN_NAME_HEADERS)}')) AND (regexp_matches(upper(c0), '{'|'.join(lx.SIGN_HEADERS)}') OR regexp_matches(upper(c1), '{'|'.join(lx.SIGN_HEADERS)}'))),
+tb1 AS (SELECT deal_id, doc_id, page_num, {cand_sql(q.squash("CASE at_ WHEN 1 THEN c0 ELSE c1 END"))} AS s FROM v_page_tables JOIN tb0 USING (deal_id, doc_id, page_num, table_no) WHERE row_no > 0),
+tb2 AS (SELECT deal_id, doc_id, page_num, string_agg(DISTINCT s, '|' ORDER BY s) AS ts FROM tb1 WHERE s <> '' AND ({person_sql('s')} OR {entity_sql('s')}) GROUP BY 1, 2, 3),
+pt AS (SELECT p.deal_id, p.doc_id, p.page_num, a.*, CASE WHEN a.signers <> '' AND NOT a.rev THEN a.signers ELSE '' END AS own, coalesce(ts, '') AS ts, EXISTS (SELECT 1 FROM tb0 WHERE tb0.deal_id = p.deal_id AND tb0.doc_id = p.doc_id AND tb0.page_num = p.page_num) AS st FROM v_pages p JOIN ana0 a ON p.page_text = a.x LEFT JOIN tb2 t ON t.deal_id = p.deal_id AND t.doc_id = p.doc_id AND t.page_num = p.page_num),
+pt2 AS (SELECT * REPLACE (cue_score + CASE WHEN st THEN 3 ELSE 0 END AS cue_score, concat_ws(',', nullif(cues, ''), CASE WHEN st THEN 'SIGNATURE_TABLE' END) AS cues,
+ CASE WHEN ts = '' THEN signers WHEN own = '' THEN ts ELSE array_to_string(list_sort(list_distinct(list_concat(string_split(own, '|'), string_split(ts, '|')))), '|') END AS signers, CASE WHEN ts = '' THEN rev ELSE FALSE END AS rev) FROM pt),
+ana AS (SELECT * REPLACE (signers <> '' OR cue_score >= 5 AS is_page, rev OR (signers = '' AND cue_score >= 5) AS needs_review,
+ concat_ws(',', CASE WHEN m1 THEN 'BY_BLOCK' END, CASE WHEN m2 THEN 'LABEL' END, CASE WHEN m3 THEN 'LABEL_ENTITY' END, CASE WHEN m4 THEN 'NAME_TITLE' END, CASE WHEN ts <> '' THEN 'TABLE' END, CASE WHEN rev THEN 'ENTITY_FALLBACK' END, CASE WHEN signers = '' AND cue_score >= 5 THEN 'SIGNATURE_CUE_REVIEW' END) AS method) FROM pt2),
+ix AS (SELECT unnest(string_split(CASE WHEN signers = '' THEN '{lx.UNASSIGNED}' ELSE signers END, '|')) AS signer_name, deal_id, doc_id, page_num, method, needs_review OR signers = '' AS review_required, CAST(cue_score AS BIGINT) AS cue_score, cues, x AS page_text FROM ana WHERE is_page)"""
 
 
-@query("sco_04", f"WITH {SIG} SELECT deal_id, doc_id, page_num, CAST(cue_score AS BIGINT) AS cue_score, cues, is_page AS is_signature_page, needs_review FROM v_pages JOIN ana ON page_text = x")
+def page_rows(t):
+    """Table rows of the pages."""
+    return t.v_page_tables.select("deal_id", "doc_id", "page_num", "table_no", "row_no", F.array("c0", "c1").alias("cells"))
+
+
+@query("sco_04", f"WITH {SIG} SELECT deal_id, doc_id, page_num, CAST(cue_score AS BIGINT) AS cue_score, cues, is_page AS is_signature_page, needs_review FROM ana")
 def sco_04(t):
-    return SG.with_signature_analysis(t.v_pages).select("deal_id", "doc_id", "page_num", long("cue_score").alias("cue_score"), F.array_join("cue_hits", ",").alias("cues"), "is_signature_page", "needs_review")
+    return SG.with_signature_analysis(t.v_pages, tables=page_rows(t)).select("deal_id", "doc_id", "page_num", long("cue_score").alias("cue_score"), F.array_join("cue_hits", ",").alias("cues"), "is_signature_page", "needs_review")
 
 
-@query("set_04", f"WITH {SIG} SELECT deal_id, doc_id, page_num, signers, method FROM v_pages JOIN ana ON page_text = x")
+@query("set_04", f"WITH {SIG} SELECT deal_id, doc_id, page_num, signers, method FROM ana")
 def set_04(t):
-    return SG.with_signature_analysis(t.v_pages).select("deal_id", "doc_id", "page_num", F.array_join("signers", "|").alias("signers"), "method")
+    return SG.with_signature_analysis(t.v_pages, tables=page_rows(t)).select("deal_id", "doc_id", "page_num", F.array_join("signers", "|").alias("signers"), "method")
 
 
 LINES = "SELECT deal_id, doc_id, page_num, unnest(string_split(page_text, chr(10))) AS l, unnest(range(0, len(string_split(page_text, chr(10))))) AS i FROM v_pages"
@@ -84,28 +98,28 @@ def cls_06(t):
 
 @query("pip_06", f"WITH {SIG} SELECT * EXCLUDE (page_text) FROM ix")
 def pip_06(t):
-    return S.signature_index(t.v_pages).withColumn("cue_score", long("cue_score"))
+    return S.signature_index(t.v_pages, page_rows(t)).withColumn("cue_score", long("cue_score"))
 
 
 @query("top_08", f"WITH {SIG} SELECT signer_name, doc_id, page_num FROM ix ORDER BY 1, 2, 3")
 def top_08(t):
-    return S.signature_index(t.v_pages).orderBy(*S.index_order()).select("signer_name", "doc_id", "page_num")
+    return S.signature_index(t.v_pages, page_rows(t)).orderBy(*S.index_order()).select("signer_name", "doc_id", "page_num")
 
 
 @query("agg_13", f"WITH {SIG} SELECT deal_id, signer_name, count(*) AS pages FROM ix GROUP BY 1, 2")
 def agg_13(t):
-    return S.signature_index(t.v_pages).groupBy("deal_id", "signer_name").agg(F.count(F.lit(1)).alias("pages"))
+    return S.signature_index(t.v_pages, page_rows(t)).groupBy("deal_id", "signer_name").agg(F.count(F.lit(1)).alias("pages"))
 
 
 @query("agg_14", f"WITH {SIG} SELECT *, CASE WHEN \"rows\" = 0 OR review_required_count > 0 OR unassigned_count > 0 THEN 'review_required' ELSE 'passed' END AS status FROM (SELECT deal_id, count(*) AS \"rows\", count(*) FILTER (WHERE review_required) AS review_required_count, count(*) FILTER (WHERE signer_name = '{lx.UNASSIGNED}') AS unassigned_count, count(DISTINCT CASE WHEN signer_name = '{lx.UNASSIGNED}' THEN doc_id END) AS documents_to_review FROM ix GROUP BY deal_id) z")
 def agg_14(t):
-    return S.verification(S.signature_index(t.v_pages), ["deal_id"])
+    return S.verification(S.signature_index(t.v_pages, page_rows(t)), ["deal_id"])
 
 
 @query("jon_15", f"WITH {SIG}, e AS (SELECT deal_id, signer_name AS packet, count(*) AS u FROM ix GROUP BY 1, 2), a AS (SELECT o.deal_id, signer_name AS packet, count(DISTINCT ix.page_text) AS u FROM ix JOIN (SELECT deal_id, signed_doc_id - 10000000 AS doc_id, page_num FROM v_signed_pages) o ON ix.deal_id = o.deal_id AND ix.doc_id = o.doc_id AND ix.page_num = o.page_num GROUP BY 1, 2) SELECT e.deal_id, e.packet, e.u AS expected_units, a.u AS actual_units, CASE WHEN a.u IS NULL THEN 'missing' WHEN a.u = e.u THEN 'verified' ELSE 'count_mismatch' END AS status FROM e LEFT JOIN a USING (deal_id, packet)")
 def jon_15(t):
     key = ["deal_id", "doc_id", "page_num"]
-    ix = S.signature_index(t.v_pages).join(t.v_pages.select(*key, "page_text"), key)
+    ix = S.signature_index(t.v_pages, page_rows(t)).join(t.v_pages.select(*key, "page_text"), key)
     units = lambda df, n: df.groupBy("deal_id", F.col("signer_name").alias("packet")).agg(n.alias("units"))
     back = t.v_signed_pages.select("deal_id", (F.col("signed_doc_id") - 10_000_000).alias("doc_id"), "page_num")  # packets that came back
     want, have = units(ix, F.count(F.lit(1))), units(ix.join(back, key), F.countDistinct("page_text"))
@@ -117,17 +131,17 @@ def win_04(t):
     return S.first_pages(t.v_pages)
 
 
-@query("pip_07", f"WITH {SIG}, f AS (SELECT deal_id, md5(trim(regexp_replace(lower(page_text), '\\s+', ' ', 'g'))) AS content_hash, arg_min(signers, (doc_id, page_num)) AS s, min((doc_id, page_num)) AS at_ FROM v_pages JOIN ana ON page_text = x WHERE is_page GROUP BY 1, 2) SELECT deal_id, content_hash, at_[1] AS doc_id, CAST(at_[2] AS INT) AS page_num, unnest(string_split(s, '|')) AS signer_name FROM f WHERE s <> ''")
+@query("pip_07", f"WITH {SIG}, f AS (SELECT deal_id, md5(trim(regexp_replace(lower(x), '\\s+', ' ', 'g'))) AS content_hash, arg_min(signers, (doc_id, page_num)) AS s, min((doc_id, page_num)) AS at_ FROM ana WHERE is_page GROUP BY 1, 2) SELECT deal_id, content_hash, at_[1] AS doc_id, CAST(at_[2] AS INT) AS page_num, unnest(string_split(s, '|')) AS signer_name FROM f WHERE s <> ''")
 def pip_07(t):
-    return S.packet_shell(t.v_pages)
+    return S.packet_shell(t.v_pages, page_rows(t))
 
 
-DOCS = f"{SIG}, dc AS (SELECT deal_id, doc_id, max(page_num) AS total_pages, min(CASE WHEN signers <> '' THEN page_num END) AS first_signature_page FROM v_pages JOIN ana ON page_text = x GROUP BY 1, 2), dw AS (SELECT *, total_pages - first_signature_page AS pages_after FROM dc WHERE first_signature_page IS NOT NULL AND total_pages - first_signature_page > 3)"
+DOCS = f"{SIG}, dc AS (SELECT deal_id, doc_id, max(page_num) AS total_pages, min(CASE WHEN signers <> '' THEN page_num END) AS first_signature_page FROM ana GROUP BY 1, 2), dw AS (SELECT *, total_pages - first_signature_page AS pages_after FROM dc WHERE first_signature_page IS NOT NULL AND total_pages - first_signature_page > 3)"
 
 
 @query("win_06", f"WITH {DOCS} SELECT deal_id, doc_id, CAST(total_pages AS BIGINT) AS total_pages, CAST(first_signature_page AS BIGINT) AS first_signature_page, CAST(pages_after AS BIGINT) AS pages_after FROM dw")
 def win_06(t):
-    w = S.annex_warnings(t.v_pages, 3)
+    w = S.annex_warnings(t.v_pages, 3, page_rows(t))
     return w.select("deal_id", "doc_id", *[long(c).alias(c) for c in ("total_pages", "first_signature_page", "pages_after")])
 
 
@@ -136,12 +150,12 @@ ANNEX = "EXISTS (SELECT 1 FROM v_pages p WHERE p.doc_id = dw.doc_id AND p.deal_i
 
 @query("jon_16", f"WITH {DOCS} SELECT deal_id, doc_id, {ANNEX} AS annex_found FROM dw")
 def jon_16(t):
-    return S.annex_warnings(t.v_pages, 3).select("deal_id", "doc_id", "annex_found")
+    return S.annex_warnings(t.v_pages, 3, page_rows(t)).select("deal_id", "doc_id", "annex_found")
 
 
 @query("pip_12", f"WITH {DOCS} SELECT deal_id, doc_id, CAST(pages_after AS BIGINT) AS pages_after, {ANNEX} AS annex_found FROM dw WHERE pages_after > 4")
 def pip_12(t):
-    return S.annex_warnings(t.v_pages, 4).select("deal_id", "doc_id", long("pages_after").alias("pages_after"), "annex_found")
+    return S.annex_warnings(t.v_pages, 4, page_rows(t)).select("deal_id", "doc_id", long("pages_after").alias("pages_after"), "annex_found")
 
 
 @query("str_29", f"""WITH l AS (SELECT doc_id, page_num, list_transform(string_split(page_text, chr(10)), lambda x: trim(x)) AS ls FROM v_pages)
