@@ -32,8 +32,8 @@ SELECT o.o_orderkey AS email_idx,
   CASE WHEN o.o_orderkey % 5 = 0 THEN 'Paralegal; paralegal ; Agent' ELSE '' END AS cc,
   concat(
     CASE CAST(o.o_orderkey % 7 AS INT)
-      WHEN 0 THEN 'Attached is the revised draft. Open issue: working capital adjustment remains bracketed.'
-      WHEN 1 THEN 'Please review and comment on the attached markup. We still need the disclosure schedules confirmed!'
+      WHEN 0 THEN 'Attached is the revised draft. Open issue: the rent cap is still in brackets.'
+      WHEN 1 THEN 'Please review and comment on the attached markup. The parking annex is missing, please confirm it!'
       WHEN 2 THEN 'The agreement has been fully executed. Signature pages attached.'
       WHEN 3 THEN 'Agreed form, no further comments.'
       WHEN 4 THEN 'Sent to opposing counsel for review; see Übersicht\u00a0Anlage v2.docx and Funds Flow.xlsx'
@@ -77,9 +77,9 @@ SELECT CAST(l_orderkey % 50 AS BIGINT) AS deal_id, l_orderkey AS doc_id, l_linen
   concat_ws('|', min(l_suppkey), min(l_partkey)) AS k,
   CASE CAST(l_linenumber % 4 AS INT)
     WHEN 1 THEN concat('SIGNATURE PAGE TO ', CASE WHEN l_orderkey % 2 = 0 THEN 'CREDIT AGREEMENT' ELSE 'GUARANTY AGREEMENT' END, chr(10),
-        'ACME ', CAST(min(l_suppkey) AS STRING), ' HOLDINGS LLC', chr(10), 'By: ____________________________', chr(10),
-        'Name: Jane Doe', chr(10), 'Title: Chief Financial Officer')
-    WHEN 2 THEN concat('ACME ', CAST(min(l_suppkey) AS STRING), ' HOLDINGS LLC', chr(10), 'By: __________________', chr(10), 'Name: __________________', chr(10), 'Title: ________')
+        'BIRCHFIELD ', CAST(min(l_suppkey) AS STRING), ' ESTATES LLC', chr(10), 'By: ____________________________', chr(10),
+        'Name: Rosa Lind', chr(10), 'Title: Managing Director')
+    WHEN 2 THEN concat('BIRCHFIELD ', CAST(min(l_suppkey) AS STRING), ' ESTATES LLC', chr(10), 'By: __________________', chr(10), 'Name: __________________', chr(10), 'Title: ________')
     WHEN 3 THEN concat('SCHEDULE ', CAST(min(l_partkey) % 9 AS STRING), chr(10), 'List of items')
     ELSE 'Ordinary prose page without any cue.' END AS page_text
 FROM lineitem GROUP BY l_orderkey, l_linenumber
@@ -91,7 +91,7 @@ SELECT DISTINCT deal_id, doc_id, page_num, 0 AS table_no, 0 AS row_no,
   CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'Sign here' WHEN 1 THEN 'Price' ELSE 'Signature' END AS c1
 FROM v_pages WHERE doc_id % 5 = 0 AND page_num % 4 IN (0, 2)
 UNION ALL
-SELECT DISTINCT deal_id, doc_id, page_num, 0, 1, concat('Rosa  Lind', chr(10), 'Vargas'), '' FROM v_pages WHERE doc_id % 5 = 0 AND page_num % 4 IN (0, 2)
+SELECT DISTINCT deal_id, doc_id, page_num, 0, 1, concat('Pilar  Lind', chr(10), 'Vargas'), '' FROM v_pages WHERE doc_id % 5 = 0 AND page_num % 4 IN (0, 2)
 UNION ALL
 SELECT DISTINCT deal_id, doc_id, page_num, 0, 2, CASE WHEN doc_id % 2 = 0 THEN 'Harbor Lane LLC' ELSE '' END, '____' FROM v_pages WHERE doc_id % 5 = 0 AND page_num % 4 IN (0, 2)
 UNION ALL
@@ -99,8 +99,8 @@ SELECT DISTINCT deal_id, doc_id, page_num, 1, 0, 'Name', 'Signature' FROM v_page
 """,
     "v_signed_pages": """
 SELECT deal_id, doc_id + 10000000 AS signed_doc_id, page_num,
-  concat('DocuSign Envelope ID: 1234567890ABCDEF', chr(10), 'Completed by DocuSign', chr(10),
-         replace(page_text, 'By: ____________________________', 'By: /s/ Jane Doe')) AS page_text
+  concat('DocuSign Envelope ID: 77AA55CC33EE11BB', chr(10), 'Completed by DocuSign', chr(10),
+         replace(page_text, 'By: ____________________________', 'By: /s/ Rosa Lind')) AS page_text
 FROM v_pages WHERE doc_id % 3 = 0 AND page_num % 4 IN (1, 3)
 """,
     "v_table_orig": """
@@ -142,9 +142,9 @@ SELECT * FROM (VALUES
   ('admin_users', 'uid-42'), ('admin_emails', 'c100')) AS t(list_name, entry)
 """,
     "v_incumbency": """
-SELECT concat('ACME ', CAST(s_suppkey % 20 AS STRING), ' Holdings, LLC') AS entity_name, s_suppkey AS row_idx,
-  CASE CAST(s_suppkey % 4 AS INT) WHEN 0 THEN 'Jane Doe - President' WHEN 1 THEN 'John Smith'
-       WHEN 2 THEN 'Acme Holdings LLC' ELSE 'Mary Ann Jones, Secretary' END AS cell0,
+SELECT concat('BIRCHFIELD ', CAST(s_suppkey % 20 AS STRING), ' Estates, LLC') AS entity_name, s_suppkey AS row_idx,
+  CASE CAST(s_suppkey % 4 AS INT) WHEN 0 THEN 'Rosa Lind - President' WHEN 1 THEN 'John Smith'
+       WHEN 2 THEN 'Birchfield Estates LLC' ELSE 'Mary Ann Jones, Secretary' END AS cell0,
   CASE WHEN s_suppkey % 4 = 1 THEN 'Vice President' ELSE '' END AS cell1
 FROM supplier
 """,

@@ -204,7 +204,7 @@ def looks_like_title(c: Column) -> Column:
 
 
 def name_and_title(c: Column) -> Column:
-    """struct(name, title) of a combined cell such as ``Jane Doe - President``; null otherwise."""
+    """struct(name, title) of a combined cell such as ``Rosa Lind - President``; null otherwise."""
     t = T.squash(c)
     name, title = F.regexp_extract(t, lx.NAME_AND_TITLE, 1), T.strip(F.regexp_extract(t, lx.NAME_AND_TITLE, 2))
     return F.when(is_valid_name(name) & looks_like_title(title), F.struct(T.strip(name).alias("name"), title.alias("title")))

@@ -314,8 +314,8 @@ def sco_07(t):
 def jon_07(t):
     # Schedules that carry the heading of the agreement they belong to.
     heading = F.concat(
-        F.lit("\nSIGNATURE PAGE TO "), F.when(F.col("signed_doc_id") % 2 == 0, "CREDIT").otherwise("GUARANTY"), F.lit(" AGREEMENT\nACME "),
-        (F.col("signed_doc_id") % 5).cast("string"), F.lit(" HOLDINGS LLC\nName: Jane Doe\nTitle: Chief Financial Officer"))
+        F.lit("\nSIGNATURE PAGE TO "), F.when(F.col("signed_doc_id") % 2 == 0, "CREDIT").otherwise("GUARANTY"), F.lit(" AGREEMENT\nBIRCHFIELD "),
+        (F.col("signed_doc_id") % 5).cast("string"), F.lit(" ESTATES LLC\nName: Rosa Lind\nTitle: Managing Director"))
     named = F.when(F.col("page_num") % 4 == 3, F.concat("page_text", heading)).otherwise(F.col("page_text"))
     s = X.signed_pages(t.v_signed_pages.withColumn("page_text", named).withColumnRenamed("signed_doc_id", "doc_id"))
     return X.match_schedules(s, X.original_pages(t.v_pages))
@@ -389,7 +389,7 @@ def src_12(t):
 
 
 # Roles of the checklists are played by entities; the mapping picks a signer by position.
-MAPS = """SELECT CAST(c_custkey % 20 AS BIGINT) AS checklist_id, concat('ACME ', CAST(c_custkey % 17 AS STRING), ' Holdings, LLC') AS entity_name, CASE CAST(floor(c_custkey / 20) AS INT) % 4 WHEN 0 THEN 'Borrower' WHEN 1 THEN 'Agent' WHEN 2 THEN 'Company' ELSE 'Lenders' END AS role,
+MAPS = """SELECT CAST(c_custkey % 20 AS BIGINT) AS checklist_id, concat('BIRCHFIELD ', CAST(c_custkey % 17 AS STRING), ' Estates, LLC') AS entity_name, CASE CAST(floor(c_custkey / 20) AS INT) % 4 WHEN 0 THEN 'Borrower' WHEN 1 THEN 'Agent' WHEN 2 THEN 'Company' ELSE 'Lenders' END AS role,
  CAST(c_custkey % 3 AS BIGINT) AS signer_index, c_custkey AS seq FROM customer"""
 RS = f"""{INC}, ip AS (SELECT *, row_number() OVER (PARTITION BY entity_name ORDER BY row_idx) - 1 AS pos FROM inc), mp AS ({MAPS}),
 rs AS (SELECT checklist_id, role, arg_max(entity_name, seq) AS entity_name, arg_max(name, seq) AS name, arg_max(title, seq) AS title FROM mp JOIN ip USING (entity_name) WHERE pos = signer_index GROUP BY 1, 2)"""
