@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from dealweave.llm.components import connected
 from dealweave.llm.registry import query, read
-from dealweave.llm.similar import similar_groups  # noqa: F401
 from dealweave.session import cut_lineage
 
 SEED = 42
