@@ -1,7 +1,8 @@
 import random
 
 from dealweave.llm.components import connected
-from dealweave.llm.simhash import FEW, _signed, fingerprint, near_groups, near_links, similar_groups
+from dealweave.llm.simhash import FEW, _signed, fingerprint, near_groups, near_links
+from dealweave.llm.similar import similar_groups
 from tests.llm.helpers import AWKWARD, documents, empty, prose, rows
 
 
