@@ -16,6 +16,23 @@ from pyspark.sql import functions as F
 from dealweave.llm.registry import query, read
 
 BLOCKS = 256
+NUMPY_ROWS = 10**9  # numpy draws from fewer
+
+
+def drawn(good: int, bad: int, picked: int, rng: np.random.Generator) -> int:
+    """Hypergeometric draw for populations of any size, by inversion of the distribution about its mode.
+
+    Neighbouring probabilities have simple ratios; beyond 12 standard deviations and 20 nothing of double precision is left."""
+    total = good + bad
+    least, most = max(0, picked - bad), min(good, picked)
+    mode = (picked + 1) * (good + 1) // (total + 2)
+    spread = int(12 * np.sqrt(picked * (good / total) * (bad / total) * ((total - picked) / max(total - 1, 1)))) + 20
+    low, high = max(least, mode - spread), min(most, mode + spread)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log((good - k) * (picked - k)) - np.log((k + 1) * (bad - picked + k + 1))
+    weight = np.concatenate([[0.0], np.cumsum(steps)])
+    sums = np.cumsum(np.exp(weight - weight.max()))
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
 
 
 def communication_matrix(block_rows: list[int], cell_rows: list[int], seed: int) -> np.ndarray:
@@ -24,7 +41,14 @@ def communication_matrix(block_rows: list[int], cell_rows: list[int], seed: int)
     left = np.array(cell_rows, dtype=np.int64)
     out = np.zeros((len(block_rows), len(cell_rows)), dtype=np.int64)
     for i, n in enumerate(block_rows):
-        out[i] = rng.multivariate_hypergeometric(left, n, method="marginals")
+        if left.sum() < NUMPY_ROWS:
+            out[i] = rng.multivariate_hypergeometric(left, n, method="marginals")
+        else:  # the same law, cell by cell
+            rest = int(left.sum())
+            for c, rows in enumerate(left.tolist()):
+                rest -= rows
+                out[i, c] = drawn(rows, rest, n, rng) if rows and rest and n else min(rows, n)
+                n -= int(out[i, c])
         left -= out[i]
     return out
 

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from dealweave.llm.sharding import block_size, cell_sizes, communication_matrix, shuffled_shards
+from dealweave.llm.sharding import block_size, cell_sizes, communication_matrix, drawn, shuffled_shards
 from tests.llm.helpers import documents, empty, rows
 
 
@@ -45,3 +45,25 @@ def test_what_the_driver_holds_does_not_grow_with_the_rows():
     for total in (10**6, 5 * 10**6, 33 * 10**6, 10**9):
         rows_per_block = block_size(total)
         assert -(-total // rows_per_block) * len(cell_sizes(total, 8, rows_per_block)[0]) <= 256 * 264
+
+
+def test_matrix_of_more_rows_than_numpy_draws_from():
+    total = 10**10 + 7
+    size = block_size(total)
+    cells, _ = cell_sizes(total, 8, size)
+    blocks = [total // 200 + (b < total % 200) for b in range(200)]
+    m = communication_matrix(blocks, cells, 3)
+    assert m.sum(axis=1).tolist() == blocks and m.sum(axis=0).tolist() == cells and m.min() >= 0
+    want = np.outer(blocks, cells) / total
+    apart = ((m - want) ** 2 / want).sum() / ((len(blocks) - 1) * (len(cells) - 1))
+    assert 0.95 < apart < 1.05  # chi-square over degrees of freedom, standard error 0.006
+
+
+def test_draws_have_the_hypergeometric_law():
+    rng = np.random.default_rng(5)
+    got = np.array([drawn(30, 50, 20, rng) for _ in range(20_000)])
+    other = rng.hypergeometric(30, 50, 20, 200_000)
+    assert got.min() >= 0 and got.max() <= 20
+    a, b = (np.bincount(x, minlength=21) / len(x) for x in (got, other))
+    assert abs(a - b).max() < 0.015
+    assert {drawn(3, 2, 5, rng) for _ in range(9)} == {3} and {drawn(2, 1, 2, rng) for _ in range(200)} == {1, 2}
