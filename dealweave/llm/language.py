@@ -1,14 +1,18 @@
 """Language identification by averaged hashed subword embeddings with a linear softmax.
 
-A text is the average of the embeddings of its hashed byte n-grams, followed by a linear softmax. Embeddings and
-softmax are trained by stochastic gradient descent in numpy on a bounded, stratified sample. As both are
-linear, prediction reads one folded table: a row of class scores for each n-gram bucket. A part of the
-sample is kept back to calibrate a temperature and the score below which a text is rejected; whole texts and a
-few words of each take part, so that scores hold for short texts too.
+A text is the average of the embeddings of its hashed byte n-grams, followed by a linear softmax over the languages and
+one class of letter noise. Embeddings and softmax are trained by stochastic gradient descent in numpy on a bounded,
+stratified sample: whole texts, excerpts of a few words, and noise made of their letters. As both are
+linear, prediction reads one folded table: a row of class scores for each n-gram bucket.
+
+A part of the sample is kept back for calibration. It gives a temperature and, for each class of text length, the score
+below which a text is rejected. Wrong scores for that come from noise and from models trained without some of the languages, which
+judge texts of the languages that they have never seen.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +29,15 @@ GRAMS = (2, 3, 4)
 SAMPLE = 400  # documents of each language that the model may learn from
 EPOCHS = 6
 STEP = 1 << 18  # bytes of a text hashed at a time
-REJECTED = 0.001  # share of rightly predicted calibration texts that may fall below the threshold
+EXCERPTS = (3, 10, 30)  # words of the excerpts that a text is learned and calibrated by, besides the whole
+FOLDS = 8  # at most, of models that leave languages out
+PART = 3  # they learn from every third document
+LENGTHS = (24, 64, 160, 512)  # bytes at which a class of text length ends
+ENOUGH = 40  # right scores that a class of length needs for a threshold of its own
+REJECTED = 0.005  # share of right calibration texts that may fall below the threshold of their length
+WRONG = 0.99  # share of wrong calibration texts; the threshold is halfway, in log odds, from where they end to where right ones begin
 UNKNOWN = "und"
+NOISE = None  # label of noise among training rows
 
 
 def _grams(text: str) -> Iterator[np.ndarray]:
@@ -54,64 +65,111 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), (counts[at] / counts.sum()).astype(np.float32)
 
 
-def _excerpt(text: str) -> str:
-    """A few words from the middle of a text."""
+def _excerpts(text: str) -> list[str]:
+    """The whole text and a few words from its middle."""
     words = text.split()
     at = len(words) // 3
-    return " ".join(words[at:at + 3])
+    return list(dict.fromkeys([text, *[" ".join(words[at:at + n]) for n in EXCERPTS]]))
+
+
+def _noise(text: str) -> list[str]:
+    """Words of shuffled and of random letters, as long as the words of an excerpt of ``text``."""
+    seed = zlib.crc32(text.encode())
+    rng = np.random.default_rng(seed)
+    letters = sorted({c for c in text[:STEP].lower() if c.isalpha()})
+    made = _excerpts(text)
+    words = made[1 + seed % len(made[1:]) if made[1:] else 0][:STEP].lower().split()
+    sizes = np.cumsum([len(w) for w in words])
+    drawn = rng.permutation(list("".join(words))), rng.choice(letters, int(sizes[-1]))
+    return [" ".join("".join(w) for w in np.split(x, sizes[:-1])) for x in drawn]
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+Row = tuple[str | None, np.ndarray, np.ndarray, int]  # language or NOISE, buckets, shares, bytes
+
+
+def _learned(train: list[Row], check: list[Row], languages: list[str], seed: int) -> tuple[np.ndarray, float]:
+    """Folded table (languages, then noise) of the rows of ``languages`` and noise, and the temperature that suits ``check``."""
+    rng = np.random.default_rng(seed)
+    place = {name: i for i, name in enumerate([*languages, NOISE])}
+    train, check = ([r for r in rows if r[0] in place] for rows in (train, check))
+    embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    out = np.zeros((DIMENSIONS, len(place)), dtype=np.float32)
+    for epoch in range(EPOCHS):
+        rate = 4.0 * (1 - epoch / EPOCHS)
+        for i in rng.permutation(len(train)):
+            name, at, share, _ = train[i]
+            mean = share @ embed[at]
+            wrong = _softmax(mean @ out)
+            wrong[place[name]] -= 1
+            back = out @ wrong
+            out -= 0.25 * rate * np.outer(mean, wrong)
+            embed[at] -= rate * 4 * share[:, None] * back
+    table = embed @ out
+    scores = np.stack([share @ table[at] for _, at, share, _ in check])
+    truth = np.array([place[r[0]] for r in check])
+    grid = np.geomspace(0.02, 10, 55)
+    loss = [-np.log(_softmax(scores / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
+    return table, float(grid[int(np.argmin(loss))])
 
 
 class LanguageModel:
-    """Folded scores by bucket and language, temperature and rejection threshold."""
+    """Folded scores by bucket and class (the last is noise), temperature and rejection threshold by class of length."""
 
-    def __init__(self, languages: list[str], table: np.ndarray, temperature: float, threshold: float):
-        self.languages, self.table, self.temperature, self.threshold = languages, table, temperature, threshold
-
-    @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        e = np.exp(z - z.max(axis=-1, keepdims=True))
-        return e / e.sum(axis=-1, keepdims=True)
+    def __init__(self, languages: list[str], table: np.ndarray, temperature: float, thresholds: list[float]):
+        self.languages, self.table, self.temperature, self.thresholds = languages, table, temperature, thresholds
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 3) -> LanguageModel:
-        rng = np.random.default_rng(seed)
-        languages = sorted({r[0] for r in rows})
-        place = {name: i for i, name in enumerate(languages)}
-        embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
-        out = np.zeros((DIMENSIONS, len(languages)), dtype=np.float32)
-        held = np.arange(len(rows)) // 2 % 5 == 4
-        train = [rows[i] for i in np.flatnonzero(~held)] or rows
-        for epoch in range(EPOCHS):
-            rate = 4.0 * (1 - epoch / EPOCHS)
-            for i in rng.permutation(len(train)):
-                name, at, share = train[i]
-                mean = share @ embed[at]
-                wrong = cls._softmax(mean @ out)
-                wrong[place[name]] -= 1
-                back = out @ wrong
-                out -= 0.25 * rate * np.outer(mean, wrong)
-                embed[at] -= rate * 4 * share[:, None] * back
-        table = embed @ out
-        check = [rows[i] for i in np.flatnonzero(held)] or rows
-        scores = np.stack([share @ table[at] for _, at, share in check])
-        truth = np.array([place[name] for name, _, _ in check])
-        grid = np.geomspace(0.02, 10, 55)
-        loss = [-np.log(cls._softmax(scores / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
-        temperature = float(grid[int(np.argmin(loss))])
-        sure = cls._softmax(scores / temperature)
-        right = sure[sure.argmax(axis=1) == truth].max(axis=1, initial=0)
-        chance = 1.5 / len(languages)
-        threshold = min(float(np.quantile(right, REJECTED)) if len(right) else 0.0, chance)
-        return cls(languages, table, temperature, threshold)
-
-    def predict(self, text: str) -> tuple[str, float]:
-        total, n = np.zeros(len(self.languages)), 0
+    def fit(cls, rows: list[tuple[str, list[Row]]], seed: int = 3) -> LanguageModel:
+        """From (language, rows of one document) in a fixed order. Every fifth pair of documents is kept back."""
+        languages = sorted({name for name, _ in rows})
+        check = [r for i, (_, of) in enumerate(rows) for r in of if i // 2 % 5 == 4]
+        train = [r for i, (_, of) in enumerate(rows) for r in of if i // 2 % 5 != 4] or check
+        part = [r for i, (_, of) in enumerate(rows) for r in of if i // 2 % 5 != 4 and i % PART == 0] or train
+        check = check or train
+        table, temperature = _learned(train, check, languages, seed)
+
+        def judged(of: list[Row], table: np.ndarray, temperature: float) -> tuple[np.ndarray, np.ndarray]:
+            p = _softmax(np.stack([share @ table[at] for _, at, share, _ in of]) / temperature)[:, :-1]
+            return p.argmax(axis=1), p.max(axis=1)
+
+        known, noise = [r for r in check if r[0] is not NOISE], [r for r in check if r[0] is NOISE]
+        best, sure = judged(known, table, temperature)
+        right = np.array([languages[b] == r[0] for b, r in zip(best, known)])
+        good = [(r[3], s) for r, s, ok in zip(known, sure, right) if ok]
+        bad = [(r[3], s) for r, s in zip(noise, judged(noise, table, temperature)[1])] if noise else []
+        folds = min(FOLDS, len(languages)) if len(languages) > 1 else 0
+        for fold in range(folds):
+            kept = [x for i, x in enumerate(languages) if i % folds != fold]
+            other = [r for r in known if r[0] not in kept]
+            if other and any(r[0] in kept for r in check):
+                bad += [(r[3], s) for r, s in zip(other, judged(other, *_learned(part, check, kept, seed))[1])]
+        thresholds: list[float] = []
+        for low, high in zip((0, *LENGTHS), (*LENGTHS, np.inf)):
+            rights, wrongs = ([s for n, s in found if low <= n < high] for found in (good, bad))
+            if len(rights) < ENOUGH:
+                thresholds.append(thresholds[-1] if thresholds else 0.0)
+            else:
+                most = np.quantile(rights, REJECTED)
+                enough = min(most, np.quantile(wrongs, WRONG)) if wrongs else most
+                odds = [np.log(x / (1 - x)) for x in np.clip([most, enough], 1e-6, 1 - 1e-6)]
+                thresholds.append(float(1 / (1 + np.exp(-sum(odds) / 2))))
+        return cls(languages, table, temperature, thresholds)
+
+    def predict(self, text: str) -> tuple[str, float, bool]:
+        """The likeliest language, its probability and whether that is too low for a text as long as this."""
+        total, n = np.zeros(self.table.shape[1]), 0
         for g in _grams(text):
             total += self.table.take(g, axis=0).sum(axis=0, dtype=np.float64)
             n += len(g)
-        p = self._softmax(total / max(n, 1) / self.temperature)
+        p = _softmax(total / max(n, 1) / self.temperature)[:-1]
         best = int(p.argmax())
-        return self.languages[best], float(p[best])
+        low = p[best] < self.thresholds[int(np.searchsorted(LENGTHS, len(text.encode()), side="right"))]
+        return self.languages[best], float(p[best]), bool(low)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -133,16 +191,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = batch.column(1).to_pylist()
-            got = [features(x) for t in whole for x in (t, _excerpt(t))]
-            twice = pa.array(np.repeat(np.arange(len(whole)), 2))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()).take(twice), batch.column(2).take(twice), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))],
-                                             names=["doc_id", "lang", "at", "share"])
+            got = [(r, real, x, *features(x)) for r, t in enumerate(whole) for real, made in ((True, _excerpts(t)), (False, _noise(t))) for x in made]
+            of = pa.array([g[0] for g in got], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.string()).take(of), batch.column(2).take(of), pa.array([g[1] for g in got], pa.bool_()), pa.array([len(g[2].encode()) for g in got], pa.int64()),
+                 pa.array([g[3] for g in got], pa.list_(pa.int32())), pa.array([g[4] for g in got], pa.list_(pa.float32()))], names=["doc_id", "lang", "real", "bytes", "at", "share"])
 
-    table = picked.mapInArrow(run, "doc_id string, lang string, at array<int>, share array<float>").toArrow()
-    found = [(lang, np.array(at.values), np.array(share.values), key) for key, lang, at, share in zip(
-        table["doc_id"].to_pylist(), table["lang"].to_pylist(), table["at"], table["share"])]
-    found.sort(key=lambda r: (str(r[3]), r[0], -len(r[1])))
-    return LanguageModel.fit([r[:3] for r in found]) if found else None
+    table = picked.mapInArrow(run, "doc_id string, lang string, real boolean, bytes long, at array<int>, share array<float>").toArrow()
+    found: dict[tuple[str, str], list[Row]] = {}
+    for key, lang, real, size, at, share in zip(*(table[c].to_pylist() for c in ("doc_id", "lang", "real", "bytes")), table["at"], table["share"]):
+        found.setdefault((key, lang), []).append((lang if real else NOISE, np.array(at.values), np.array(share.values), size))
+    return LanguageModel.fit([(lang, sorted(of, key=lambda r: (r[0] is NOISE, -r[3], r[1].tobytes(), r[2].tobytes()))) for (_, lang), of in sorted(found.items())]) if found else None
 
 
 def identified(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,15 +209,14 @@ def identified(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 for a text that is null or has no letter (or without a model).
     ``score`` is the calibrated probability of ``lang_pred``; ``rejected`` marks ``und`` and scores
-    below the model's threshold. Ids pass through as they are, other columns are ignored.
+    below the model's threshold for texts of that length, as unlearned languages and letter noise have. Ids pass through as they are, other columns are ignored.
     """
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.when(has_letter(F.col(text_col)), F.col(text_col)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(UNKNOWN, 0.0) if model is None or t is None else model.predict(t) for t in (x.as_py() for x in batch.column(1))]
-            low = [name == UNKNOWN or score < model.threshold for name, score in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(low, pa.bool_())],
+            got = [(UNKNOWN, 0.0, True) if model is None or t is None else model.predict(t) for t in (x.as_py() for x in batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())],
                                              names=["doc_id", "lang_pred", "score", "rejected"])
 
     return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")

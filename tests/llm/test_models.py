@@ -1,5 +1,9 @@
 import zlib
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry_module
 import dealweave.llm.language as language
 import dealweave.llm.toxicity as toxicity
@@ -31,6 +35,42 @@ def test_language_of_awkward_rows(spark):
     assert rows(language.identified(documents(spark, [(1, "x")]), None), "lang_pred", "score") == [("und", 0.0)]
 
 
+@pytest.mark.parametrize("unlearned", ["fr", "de"])
+def test_languages_that_were_not_learned_are_rejected(spark, unlearned):
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").where("lang IS NOT NULL AND size(split(trim(text), '[ \n]+')) >= 20")
+    model = language.train(docs.where(F.col("lang") != unlearned))
+    fresh = [r.text for r in docs.where(F.col("lang") == unlearned).select("text").limit(150).collect()]
+    assert np.mean([model.predict(t)[2] for t in fresh]) >= 0.8
+    known = [(r.text, r.lang) for r in docs.where((F.col("lang") != unlearned) & language.held_out()).select("text", "lang").limit(600).collect()]
+    got = [model.predict(t) for t, _ in known]
+    assert np.mean([g[2] for g in got]) <= 0.01 and np.mean([g[0] == lang for g, (_, lang) in zip(got, known)]) >= 0.97
+
+
+def test_letter_noise_is_rejected(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    model = language.train(docs)
+    rng = np.random.default_rng(1)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n)) for n in (8, 20, 60) for _ in range(30)]
+    assert np.mean([model.predict(t)[2] for t in noise]) >= 0.9
+
+
+def test_prediction_equals_a_plain_forward_pass(spark):
+    docs = documents(spark, [(i, prose(1 + (i >= 30), 40)) for i in range(60)], {i: "aa" if i < 30 else "bb" for i in range(60)})
+    model = language.train(docs)
+    got = {r.doc_id: r for r in language.identified(docs, model).collect()}
+    for row in docs.collect():
+        raw, mean = f" {row.text.lower()} ".encode(), np.zeros(3)
+        grams = [raw[i:i + n] for n in language.GRAMS for i in range(len(raw) - n + 1)]
+        for gram in grams:
+            h = 0
+            for byte in gram:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ (byte + 1)
+            mean += model.table[((h ^ len(gram)) * 0x9E3779B1 & 0xFFFFFFFF) >> 17] / len(grams)
+        p = np.exp(mean / model.temperature)
+        p = (p / p.sum())[:2]
+        assert got[row.doc_id].lang_pred == model.languages[int(p.argmax())] and abs(got[row.doc_id].score - p.max()) < 1e-6
+
+
 def test_toxic_words_are_found_and_located(spark):
     bad = ("nasty", "vile")
     texts, marks = [], []
