@@ -2,7 +2,9 @@ import hashlib
 
 import numpy as np
 
+import __spark_entry__ as entry_module
 import dealweave.llm.fingerprints as fp
+from tests.compare import DATA, duck
 from tests.llm.helpers import AWKWARD, documents, empty, prose
 
 
@@ -31,7 +33,17 @@ def test_edits_against_brute_force(spark, monkeypatch):
         assert (r.n_chars, r.edited) == (len(t), edited), i
         assert abs(r.near_edited - likeness(t, edited)) < 1e-9 and abs(r.near_next - likeness(t, n)) < 1e-9
     assert got[40].fingerprint == got[23].fingerprint != got[24].fingerprint
-    assert hashlib.sha256(got[20].edited.encode()).digest()
+
+
+def test_the_query_against_brute_force(spark):
+    sf = f"{DATA}/sf0.001"
+    texts = [(r[0], r[1] or "") for r in duck(sf).sql("SELECT doc_id, text FROM documents ORDER BY doc_id DESC").fetchall()]
+    got = {r.doc_id: r for r in entry_module.queries()["op9_fingerprint"](spark, sf).collect()}
+    assert len(got) == len(texts)
+    for (i, t), (_, n) in zip(texts, texts[1:] + texts[:1]):
+        edited = t[:len(t) - len(t) // 3] + n[:len(t) // 3]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest()), i
+        assert abs(got[i].near_edited - likeness(t, edited)) < 1e-9 and abs(got[i].near_next - likeness(t, n)) < 1e-9, i
 
 
 def test_one_row_and_none(spark):
