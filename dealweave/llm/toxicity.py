@@ -103,7 +103,7 @@ class ToxicityModel:
             none += np.log1p(-min(p, 1 - 1e-12))
             if p >= 0.5:
                 found.append((a, b, float(p)))
-        return float(-np.expm1(none)), found
+        return float(-np.expm1(none)) + 0.0, found  # no sentence: 0.0, not -0.0
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:

@@ -89,6 +89,7 @@ def test_toxic_words_are_found_and_located(spark):
         if i % 4 == 0:
             assert any(w in text[s.start:s.end] for s in got[i].offending for w in bad)
     assert got[None].score >= 0.5 and got[1000].score < 0.5 and got[1001].offending == []
+    assert str(got[1001].score) == "0.0"
     assert toxicity.scored(empty(spark), toxicity.train(empty(spark), labels)).count() == 0
 
 
