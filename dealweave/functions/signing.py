@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dealweave import lexicon as lx
 from dealweave.functions import text as T
-from dealweave.session import computed_once
+from dealweave.session import computed_once, once_per_content
 
 EMPTY = "array<string>"
 RESULT = ("signers", "method", "cue_score", "cue_hits", "needs_review", "is_signature_page")
@@ -94,6 +94,10 @@ def with_signature_analysis(pages: DataFrame, text: str = "page_text", tables: D
         pages = pages.join(page_tables(tables, keys), keys, "left")
     else:
         pages = pages.withColumns({"has_signature_table": F.lit(None).cast("boolean"), "table_signers": F.lit(None).cast(EMPTY)})
+    return once_per_content(pages, [text, "has_signature_table", "table_signers"], lambda p: _analysed(p, text)).drop("has_signature_table", "table_signers")
+
+
+def _analysed(pages: DataFrame, text: str) -> DataFrame:
     label = lx.NAME_LABEL + r"\s*(.+)"
     body = F.coalesce(F.col(text), F.lit(""))
     # Prose pages stop here: without a label, a BY block, a rule or a trigger phrase no detector fires.

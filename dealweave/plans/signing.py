@@ -15,6 +15,7 @@ from dealweave.operators import signatures as S
 from dealweave.plans import duck as q
 from dealweave.plans.mail import long
 from dealweave.plans.registry import query
+from dealweave.session import once_per_content
 
 # ---------------------------------------------------------------- names, one line at a time
 IGN = ", ".join(f"'{w}'" for w in lx.IGNORED_SIGNERS)
@@ -92,8 +93,13 @@ def str_13(t):
 
 @query("cls_06", f"SELECT doc_id, page_num, i, {person_sql(cand_sql('l'))} AS person, {entity_sql(cand_sql('l'))} AS entity FROM ({LINES}) z")
 def cls_06(t):
-    x = t.v_pages.select("doc_id", "page_num", F.posexplode(F.split("page_text", "\n")).alias("i", "l")).withColumn("c", SG.signer_candidate(F.col("l")))
-    return x.select("doc_id", "page_num", long("i").alias("i"), SG.is_person(F.col("c")).alias("person"), SG.is_entity(F.col("c")).alias("entity"))
+    def judged(p):
+        x = p.select("_cid", F.posexplode(F.split("page_text", "\n")).alias("i", "l")).withColumn("c", SG.signer_candidate(F.col("l")))
+        line = F.struct("i", SG.is_person(F.col("c")).alias("person"), SG.is_entity(F.col("c")).alias("entity"))
+        return x.groupBy("_cid").agg(F.collect_list(line).alias("_lines"))  # lines of one page
+
+    x = once_per_content(t.v_pages.select("doc_id", "page_num", "page_text"), ["page_text"], judged)
+    return x.select("doc_id", "page_num", F.explode("_lines").alias("x")).select("doc_id", "page_num", F.col("x.i").cast("long").alias("i"), "x.person", "x.entity")
 
 
 @query("pip_06", f"WITH {SIG} SELECT * EXCLUDE (page_text) FROM ix")
@@ -203,7 +209,8 @@ def _footer_sql(u):
 
 @query("str_15", f"SELECT doc_id, page_num, {_footer_sql('u')} AS footer_name FROM (SELECT *, {PT('page_text')} AS u FROM v_pages) z")
 def str_15(t):
-    return t.v_pages.select("doc_id", "page_num", P.footer_name(F.col("page_text")).alias("footer_name"))
+    p = once_per_content(t.v_pages, ["page_text"], lambda p: p.withColumn("footer_name", P.footer_name(F.col("page_text"))))
+    return p.select("doc_id", "page_num", "footer_name")
 
 
 def _title_sql(u):
@@ -245,13 +252,14 @@ al AS (SELECT x, string_agg(l, '|' ORDER BY o) AS anchors FROM aw GROUP BY 1)"""
 
 @query("win_10", f"WITH {ML}, {ANCH}, ed AS (SELECT x, string_agg(l, '|' ORDER BY i) AS anchors FROM ml WHERE length(l) >= 8 AND x NOT IN (SELECT x FROM aw) GROUP BY 1) SELECT doc_id, page_num, coalesce(al.anchors, ed.anchors, '') AS anchors FROM v_pages LEFT JOIN al ON page_text = al.x LEFT JOIN ed ON page_text = ed.x")
 def win_10(t):
-    return t.v_pages.select("doc_id", "page_num", F.array_join(P.anchor_lines(P.meaningful_lines(F.col("page_text"))), "|").alias("anchors"))
+    anchors = F.array_join(P.anchor_lines(P.meaningful_lines(F.col("page_text"))), "|")
+    return once_per_content(t.v_pages, ["page_text"], lambda p: p.withColumn("anchors", anchors)).select("doc_id", "page_num", "anchors")
 
 
 @query("set_03", f"""WITH {ML}, s AS (SELECT doc_id, page_num, x FROM v_pages JOIN ml0 ON page_text = x), p AS (SELECT a.doc_id, a.page_num, a.x AS x1, b.x AS x2 FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.page_num = a.page_num + 1)
 SELECT doc_id, page_num, CASE WHEN n1 > 0 AND n2 > 0 THEN round(sh * 1.0 / (n1 + n2 - sh), 4)::DOUBLE ELSE 0 END AS overlap FROM (SELECT doc_id, page_num, (SELECT count(*) FROM ml WHERE x = x1 AND length(l) >= 4) AS n1, (SELECT count(*) FROM ml WHERE x = x2 AND length(l) >= 4) AS n2, (SELECT count(*) FROM ml a JOIN ml b ON a.l = b.l WHERE a.x = x1 AND b.x = x2 AND length(a.l) >= 4) AS sh FROM p) z""")
 def set_03(t):
-    p = t.v_pages.select("doc_id", "page_num", P.meaningful_lines(F.col("page_text")).alias("a"))
+    p = once_per_content(t.v_pages, ["page_text"], lambda p: p.withColumn("a", P.meaningful_lines(F.col("page_text")))).select("doc_id", "page_num", "a")
     nxt = p.select("doc_id", (F.col("page_num") - 1).alias("page_num"), F.col("a").alias("b"))
     return p.join(nxt, ["doc_id", "page_num"]).select("doc_id", "page_num", F.round(P.line_overlap(F.col("a"), F.col("b")), 4).alias("overlap"))
 
