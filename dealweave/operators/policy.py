@@ -25,7 +25,8 @@ def override_key(c: Column) -> Column:
 
 def identity_parts(identities: DataFrame) -> DataFrame:
     low = lambda c: F.lower(T.strip(F.coalesce(F.col(c), F.lit(""))))
-    i = identities.select("ident_id", low("email").alias("email"), low("username").alias("username"), low("user_id").alias("user_id"))
+    # a small file is one split; nine lists and their entries are made of each row
+    i = identities.repartition("ident_id").select("ident_id", low("email").alias("email"), low("username").alias("username"), low("user_id").alias("user_id"))
     at = F.contains(F.col("email"), F.lit("@"))
     return i.withColumns({
         "domain": F.when(at, F.get(F.split("email", "@"), F.lit(1))).otherwise(""),
@@ -48,7 +49,8 @@ def list_hits(parts: DataFrame, rules: DataFrame, own: bool = False) -> DataFram
     on = ["ident_id"] if own else []
     rules = rules.select(*on, "list_name", F.lower(T.strip(F.col("entry"))).alias("entry")).where("entry <> ''").distinct()
     pieces = F.array(*[F.struct(F.lit(n).alias("list_name"), F.col(p).alias("value")) for n, ps in TESTED.items() for p in ps])
-    asked = parts.select("ident_id", F.explode(pieces).alias("p")).select("ident_id", "p.*").where("value <> ''").distinct()
+    # the parts of one identity differ within its row; rows of it that repeat leave with the last distinct
+    asked = parts.select("ident_id", F.explode(F.array_distinct(pieces)).alias("p")).select("ident_id", "p.*").where("value <> ''")
     keyed = asked.select("ident_id", "list_name", F.explode(entry_keys(F.col("value"))).alias("entry"))
     named = keyed.join(rules.where("entry NOT IN ('*', 'all')"), [*on, "list_name", "entry"]).select("ident_id", "list_name")
     every = rules.where("entry IN ('*', 'all')").select(*on, "list_name").distinct()

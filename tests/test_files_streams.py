@@ -206,3 +206,11 @@ def test_own_policy_fields_are_merged_before_aliases(spark):
     assert not got[1].allowed  # the global list comes first among the aliases
     assert got[2].allowed and got[4].allowed  # an empty own list clears the global one
     assert not got[3].allowed and got[3].message == "closed"
+
+
+def test_rows_of_one_split_are_spread_before_the_work(spark):
+    ids = spark.createDataFrame([(1, "a@b.c", "u", "x"), (1, "a@b.c", "u", "x")], "ident_id long, email string, username string, user_id string").coalesce(1)
+    rules = spark.createDataFrame([("blocked_users", "u"), ("allowed_emails", "*")], "list_name string, entry string")
+    hits = PO.list_hits(PO.identity_parts(ids), rules)
+    assert "RepartitionByExpression" in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.list_name for r in hits.collect()) == ["allowed_emails", "blocked_users"]
