@@ -1,4 +1,6 @@
 import corpus_pipeline as pipeline
+from dealweave.llm.simhash import near_groups
+from dealweave.llm.similar import similar_groups
 from tests.llm.helpers import AWKWARD, documents, empty, prose
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,3 +30,13 @@ def test_decisions_take_effect(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert [df.count() for _, df in stages(spark, empty(spark), tmp_path)] == [0] * 5
+
+
+def test_near_copies_are_linked_by_fingerprint_and_by_similarity(spark):
+    refrain, base = "one line that is sung over again\n" * 200, prose(1, 300)
+    texts = [(1, refrain + prose(7, 20)), (2, refrain + prose(8, 20)), (3, base), (4, base.replace(base.split()[50], "changedword", 1)), (5, prose(9, 300))]
+    docs = documents(spark, texts)
+    prints = {r.doc_id: r.component_id for r in near_groups(docs).collect()}
+    assert prints == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}  # the operator links 1 and 2 only, similarity 3 and 4 only
+    assert similar_groups(docs).where("doc_id IN (1, 2)").isEmpty()
+    assert {r.doc_id for r in pipeline.no_near_copies(spark, docs, "").collect()} == {1, 3, 5}
