@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from dealweave import lexicon as lx
 from dealweave.functions import text as T
 from dealweave.operators import hot
 from dealweave.operators.documents import collection_name, usage_measures
-from dealweave.session import cut_lineage, prepare
+from dealweave.session import prepare, shared_folder
 
 RAW = "collection string, event_type string, app_version string, machine_id string, timestamp string, payload string, user_agent string"
 
@@ -43,6 +44,7 @@ def ingest(raw: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
         .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
 
 
+SHELF = 64  # chunks of each collection that one folder of a queue under way holds, at least
 LEDGER = "batch_id long, collection string, chunk long, rows long"
 
 
@@ -76,10 +78,10 @@ def flush_chunks(queue: DataFrame, order: str, send: Callable[[str, int, list[di
     ledger once all before it are. At the first failure of a collection nothing of it is sent any more, the chunks before stay committed and
     :class:`ChunkFailed` is raised; the next run of the same batch starts with the failed chunk. With a ``wave`` above 1 that many chunks of each collection are under way
     at once, so chunks after a failed one may have been sent and are sent again: ``send`` gets the chunk number to recognise them.
+    What is left of the queue goes once to the shared folder, by consecutive chunks, and every wave reads only its own.
     """
     spark = queue.sparkSession
-    parts = cut_lineage(numbered_chunks(queue, order, chunk))
-    last = parts.groupBy("collection").agg(F.max("chunk").alias("last"))
+    last = queue.groupBy("collection").agg((F.ceil(F.count(F.lit(1)) / chunk) - 1).alias("last"))
     done = ledger(spark, folder).where(F.col("batch_id") == batch_id).groupBy("collection").agg(F.max("chunk").alias("done"), F.sum("rows").alias("rows"))
     state = {r.collection: r for r in last.join(done, "collection", "left").collect()}  # one row for each collection, a fixed list
     written, at = sum(r.rows or 0 for r in state.values()), {c: -1 if r.done is None else r.done for c, r in state.items()}
@@ -93,12 +95,27 @@ def flush_chunks(queue: DataFrame, order: str, send: Callable[[str, int, list[di
             reason = f"{type(failed).__name__}: {failed}"
         return pa.table({"collection": [collection], "chunk": pa.array([number], pa.int64()), "rows": pa.array([table.num_rows], pa.int64()), "reason": pa.array([reason], pa.string())})
 
+    shelf = wave * -(-SHELF // wave)
+    start, shelves, turn = dict(at), f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}", 0
+    if any(at[c] < r.last for c, r in state.items()):
+        parts = numbered_chunks(queue, order, chunk)
+        before = F.lit(None).cast("long")
+        for c, n in start.items():
+            before = F.when(F.col("collection") == c, F.lit(n)).otherwise(before)
+        left = parts.withColumn("shelf_no", F.floor((F.col("chunk") - before - 1) / shelf).cast("long")).where("shelf_no >= 0")
+        left.repartition("shelf_no").write.partitionBy("shelf_no").parquet(shelves)
+        kinds = parts.schema
+
     while any(at[c] < r.last for c, r in state.items()):
+        parts = spark.read.schema(kinds).parquet(f"{shelves}/shelf_no={turn * wave // shelf}")
+        turn += 1
         asked = F.lit(False)
         for c, r in state.items():
             asked = asked | ((F.col("collection") == c) & F.col("chunk").between(at[c] + 1, at[c] + wave))
         sent = parts.where(asked).groupBy("collection", "chunk").applyInArrow(deliver, "collection string, chunk long, rows long, reason string")
         answers = sorted(sent.collect(), key=lambda r: (r.collection, r.chunk))  # at most ``wave`` rows for each collection
+        if not answers:
+            raise RuntimeError("the queue changed while it was sent")
         failed, commit = {}, []
         for a in answers:
             if a.reason is not None:

@@ -224,3 +224,14 @@ def test_clause_work_is_done_once_and_records_are_spread(spark):
     assert "RepartitionByExpression" in plan
     assert plan.count("payment_currency") <= 2 and plan.count("daily_fee") <= 2  # a record's map is made in one place, not in every use of it
     assert [(r.outcome, r.text) for r in out.orderBy("clause_id").collect()] == [("deleted", ""), ("filled", "Pay 9 in EUR")]
+
+
+def test_every_wave_reads_only_its_own_part_of_the_queue(spark, tmp_path, monkeypatch):
+    read = []
+    plain = type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, path: read.append(plain(self, path).count()) or plain(self, path))
+    monkeypatch.setattr(ST, "SHELF", 2, raising=False)
+    queue = spark.createDataFrame([(i, "prompt_logs") for i in range(100)], "n long, collection string")
+    assert ST.flush_chunks(queue, "n", lambda c, k, rows: None, str(tmp_path / "ledger"), chunk=10, wave=2) == 100
+    assert read == [20] * 5
+    assert sorted((r.chunk, r.rows) for r in ST.ledger(spark, str(tmp_path / "ledger")).collect()) == [(k, 10) for k in range(10)]
