@@ -2,23 +2,28 @@
 
 Rows are matched in three passes. Passes one and two are equi-joins on (content key, occurrence
 number), so the k-th copy meets the k-th copy without pairing copies. Only rows without any
-counterpart after that are compared by text similarity.
+counterpart after that are compared by text similarity, in row order and by falling bounds.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from dealweave.functions import text as T
-from dealweave.functions.pages import ratio, sequence_ratio
-from dealweave.operators import hot
+from dealweave.functions.pages import ratio
+from dealweave.operators import hot, similarity
 from dealweave.operators.assign import first_come
 from dealweave.session import cut_lineage
 
 FUZZY_ROW, FUZZY_HEADER, TABLE_SCORE = 0.6, 0.7, 0.3  # fixed values
+ORDERED, STRIP = 2048, 64  # original rows of a table that choose in one turn, and whose bounds are held at a time
 MAPPING = ArrayType(StructType([StructField("o", IntegerType()), StructField("m", IntegerType())]))
 
 
@@ -62,21 +67,63 @@ def match_rows(orig: DataFrame, mod: DataFrame, fuzzy: bool = True) -> DataFrame
     return taken.unionByName(fuzzy_rows(o3, m3))
 
 
+def _closest(left: list[str], right: list[str]) -> list[tuple[int, int, float]]:
+    """Every left text in order takes the most similar free right text above 0.6 (ties: the first). The ratio is asked by falling bounds,
+    until no other bound could win."""
+    free, found = np.ones(len(right), bool), []
+    for s in range(0, len(left), STRIP):
+        for i, bounds in enumerate(similarity.order_bound(left[s:s + STRIP], right), s):
+            bounds = np.where(free, bounds, 0.0)
+            best, taken = FUZZY_ROW, -1
+            while True:
+                j = int(bounds.argmax())
+                if bounds[j] < best or bounds[j] <= FUZZY_ROW or (bounds[j] == best and j > taken >= 0):
+                    break
+                got = ratio(left[i], right[j])
+                if got > best or (got == best and j < taken):
+                    best, taken = got, j
+                bounds[j] = 0.0
+            if taken >= 0:
+                free[taken] = False
+                found.append((i, taken, best))
+                if not free.any():
+                    return found
+    return found
+
+
 def fuzzy_rows(orig: DataFrame, mod: DataFrame) -> DataFrame:
     """Rows left over on both sides: most similar above 0.6, in original order, one to one.
 
-    Equal texts are compared once; pairs whose lengths alone rule the ratio out never reach
-    the similarity function."""
-    o = orig.select("table_id", F.col("row_idx").alias("left"), F.col("row_text").alias("a"))
-    m = mod.select("table_id", F.col("row_idx").alias("right"), F.col("row_text").alias("b"))
-    bound = 2 * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b"))
-    texts = o.select("table_id", "a").distinct().join(m.select("table_id", "b").distinct(), "table_id").where(bound > FUZZY_ROW)
-    close = texts.withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") > FUZZY_ROW)
-    pairs = close.join(o, ["table_id", "a"]).join(m, ["table_id", "b"]).select(
-        "table_id", "left", "right", "ratio")
-    got = first_come(pairs, [(-F.col("ratio")).alias("r")], ["table_id"])
-    return got.join(pairs.select("table_id", "left", "right", "ratio"), ["table_id", "left", "right"]).select(
-        "table_id", F.col("left").alias("orig_idx"), F.col("right").alias("mod_idx"), F.col("ratio").alias("confidence"))
+    Each row depends on what those before it took, so original rows of a table go by ``ORDERED`` at a time, all tables at once, against
+    the modified rows that are still free. Pairs are not listed: bounds of one strip of rows are held at a time."""
+    o = hot.numbered(orig.where("table_id IS NOT NULL"), ["table_id"], hot.index_block(F.col("row_idx")), ["row_idx"], "_n")
+    o = cut_lineage(o.select("table_id", F.floor((F.col("_n") - 1) / ORDERED).cast("int").alias("_turn"), F.col("row_idx").alias("orig_idx"), F.col("row_text").alias("a")))
+    kinds = dict(mod.dtypes)
+    schema = f"table_id {kinds['table_id']}, orig_idx {dict(o.dtypes)['orig_idx']}, mod_idx {kinds['row_idx']}, confidence double, b string"
+    none = F.lit(None).cast(dict(o.dtypes)["orig_idx"])
+    state = mod.where("table_id IS NOT NULL").select("table_id", none.alias("orig_idx"), F.col("row_idx").alias("mod_idx"), F.lit(None).cast("double").alias("confidence"), F.col("row_text").alias("b"))
+
+    def turn(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Modified rows of a table, those that were taken with the row that took them; none if no original row asks."""
+        if not left.num_rows or not right.num_rows:
+            return right.slice(0, 0)
+        left, right = left.sort_by("orig_idx"), right.sort_by("mod_idx")
+        at, score = [None] * right.num_rows, [None] * right.num_rows
+        own = left["orig_idx"].to_pylist()
+        for i, j, s in _closest([x or "" for x in left["a"].to_pylist()], [x or "" for x in right["b"].to_pylist()]):
+            at[j], score[j] = own[i], s
+        right = right.set_column(1, "orig_idx", pa.array(at, right["orig_idx"].type))
+        return right.set_column(3, "confidence", pa.array(score, pa.float64()))
+
+    done, turns = [], o.agg(F.max("_turn")).first()[0]
+    for n in range(0 if turns is None else turns + 1):
+        free = state.where("orig_idx IS NULL")
+        state = cut_lineage(o.where(F.col("_turn") == n).groupBy("table_id").cogroup(free.groupBy("table_id")).applyInArrow(turn, schema))
+        done.append(state)
+        if state.where("orig_idx IS NULL").isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, done or [state])
+    return found.where("orig_idx IS NOT NULL").select("table_id", "orig_idx", "mod_idx", "confidence")
 
 
 def row_changes(orig: DataFrame, mod: DataFrame, matches: DataFrame, mapping: DataFrame | None = None) -> DataFrame:

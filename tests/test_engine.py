@@ -92,3 +92,32 @@ def test_first_come_takes_few_rounds_where_best_partners_differ(spark):
     df = df.withColumn("s", F.when(F.col("left") == F.col("right"), 9).otherwise(8))
     got = first_come(df, [(-F.col("s")).alias("s")], ["g"]).collect()
     assert len(got) == n and all(r.left == r.right for r in got) and got[0].round < 20
+
+
+def made_rows(seed, n, tables, blank=True):
+    rnd = random.Random(seed)
+    return [(1 + i % tables, i, rnd.choice(["", "cold gizmo lamp " * 6, *[f"{rnd.randint(1, 999)} | {a} | Brand#{rnd.randint(1, 30)}" for a in ("cold gizmo", "new bolt", "inserted row")]][0 if blank else 1:]))
+            for i in range(n)]
+
+
+def test_left_over_rows_are_chosen_as_by_one_walk_in_row_order(spark, monkeypatch):
+    monkeypatch.setattr(redline, "ORDERED", 7)
+    o, m = made_rows(3, 80, 3), made_rows(4, 50, 4)
+    want, used = set(), set()
+    for t, i, a in o:
+        best = min(((-redline.ratio(a, b), j) for u, j, b in m if u == t and j not in used and a and b), default=(0, 0))
+        if -best[0] > 0.6:
+            used.add(best[1])
+            want.add((t, i, best[1], -best[0]))
+    schema = "table_id long, row_idx long, row_text string"
+    got = redline.fuzzy_rows(*(spark.createDataFrame(x, schema) for x in (o, m)))
+    assert len(want) > 20 and {tuple(r) for r in got.collect()} == want
+    assert redline.fuzzy_rows(spark.createDataFrame([], schema), spark.createDataFrame(m, schema)).count() == 0
+
+
+def test_rows_that_want_the_same_partner_ask_few_ratios(monkeypatch):
+    asked = []
+    plain = redline.ratio
+    monkeypatch.setattr(redline, "ratio", lambda a, b: asked.append(1) or plain(a, b))
+    left, right = [f"{7 * i} | cold gizmo | Brand#{i % 25} | 7" for i in range(300)], [f"NEW{9 * i} | inserted row | Brand#{i % 25} | 0" for i in range(200)]
+    assert len(redline._closest(left, right)) == 200 and len(asked) < 10 * len(left)
