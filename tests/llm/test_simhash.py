@@ -1,8 +1,10 @@
 import random
 
+from dealweave.llm import components as module
 from dealweave.llm.components import connected
 from dealweave.llm.simhash import FEW, _signed, fingerprint, near_groups, near_links
 from dealweave.llm.similar import similar_groups
+from dealweave.session import cut_lineage
 from tests.llm.helpers import AWKWARD, documents, empty, prose, rows
 
 
@@ -50,6 +52,16 @@ def test_components_of_chains_and_stars(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(module, "cut_lineage", lambda df: made.append(1) or cut_lineage(df))
+    stars = spark.createDataFrame([(1, i) for i in range(2, 60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
+    got = dict(rows(connected(stars), "node", "component"))
+    assert got == {**{i: 1 for i in range(1, 60)}, 100: 100, 101: 100} and len(made) == 1
+    for near in ([(1, 3), (2, 3)], [(1, 2), (2, 3)]):  # a second smaller end, an end that is both
+        assert set(dict(rows(connected(spark.createDataFrame(near, "a long, b long")), "node", "component")).values()) == {1}
+
+
 def test_groups_of_documents(spark):
     base = prose(1, 400)
     texts = AWKWARD + [(20, base), (21, base.upper()), (22, "  " + base), (30, prose(2, 80)), (None, base), (20, base)]
