@@ -121,3 +121,25 @@ def test_rows_that_want_the_same_partner_ask_few_ratios(monkeypatch):
     monkeypatch.setattr(redline, "ratio", lambda a, b: asked.append(1) or plain(a, b))
     left, right = [f"{7 * i} | cold gizmo | Brand#{i % 25} | 7" for i in range(300)], [f"NEW{9 * i} | inserted row | Brand#{i % 25} | 0" for i in range(200)]
     assert len(redline._closest(left, right)) == 200 and len(asked) < 10 * len(left)
+
+
+def test_greedy_choice_among_ties_takes_few_rounds(spark, monkeypatch):
+    from dealweave.operators import assign
+
+    n, asked = 40, []
+    pairs = [(g, i, j, 1 + (i % 3 == 0), 1, s) for g in (1, 2) for i in range(n) for j in range(n) for s in [(i * 7 + j * 3) % 2] if g == 1 or i < 20]
+    df = spark.createDataFrame(pairs, "g long, left long, right long, cap_left long, cap_right long, s int")
+    cut, want = assign.cut_lineage, set()
+    monkeypatch.setattr(assign, "cut_lineage", lambda d: asked.append(1) or cut(d))
+    for g in (1, 2):
+        left, right = {i: 1 + (i % 3 == 0) for i in range(n)}, dict.fromkeys(range(n), 1)
+        for _, i, j, _, _, s in sorted((p for p in pairs if p[0] == g), key=lambda p: (-p[5], p[1], p[2])):
+            if q := min(left[i], right[j]):
+                want.add((g, i, j, q))
+                left[i], right[j] = left[i] - q, right[j] - q
+    for walked, most in ((1 << 17, 8), (250, 60)):  # the second cuts groups into several walks
+        asked.clear()
+        monkeypatch.setattr(assign, "WALKED", walked)
+        got = greedy_rounds(df, [(-F.col("s")).alias("o")], ["g"])
+        assert {(r.g, r.left, r.right, r.qty) for r in got.collect()} == want and len(asked) <= most
+    assert len({(r.g, r.left, r.round) for r in got.collect()}) == len(want)
